@@ -179,7 +179,7 @@ def dedup(table: DataFrame, modulus: int | None = None, huge_chars: int = HUGE_C
     """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
     found = shards.checkpointed(fingerprints(table, modulus, huge_chars).withColumn("group", F.concat("fingerprint", F.col("n_bytes").cast("string").cast("binary"))))
     sizes = found.groupBy("group").agg(F.count("*").alias("n"))
-    members = found.join(sizes.filter("n > 1"), "group", "left_semi").select("doc_id", "group").distinct()
+    members = found.join(sizes.filter("n > 1"), "group", "left_semi").select("doc_id", "group")
     odd = shards.checkpointed(collisions(table, members, chunk))
     if not odd.isEmpty():
         odd = odd.withColumn("odd", F.lit(True))

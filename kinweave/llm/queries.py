@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, sql
+from . import exact_dedup, line_dedup, mixing, ngram_join, pieces, sql, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +25,28 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its number of tokens, digests of the ids and of the decoded text, and whether that is the text."""
+    documents = _read(spark, sf_dir, "documents")
+    out = pieces.decode(pieces.encode(documents))
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), digest.alias("decoded_sha256"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, _read(spark, sf_dir, "labels")))
+
+
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(_read(spark, sf_dir, "documents"))
+
+
+_ALL = [op1_line_dedup, op3_sentencepiece, op4_exact_dedup, op8_toxicity, op9_mixing, op10_ngram_jaccard]
+
+
 def queries() -> dict:
-    return {"op1_line_dedup": op1_line_dedup, "op4_exact_dedup": op4_exact_dedup, "op9_mixing": op9_mixing}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:

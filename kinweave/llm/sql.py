@@ -53,4 +53,20 @@ SELECT doc_id, size, source_size, target,
        CAST(epochs * size + greatest(0, least(budget - epochs * source_size - before, size)) AS BIGINT) AS taken FROM p
 """
 
-ORACLES = {"op1_line_dedup": LINES, "op4_exact_dedup": EXACT, "op9_mixing": MIX}
+JACCARD = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END AS s FROM w),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM items a JOIN items b ON a.g = b.g AND a.doc_id < b.doc_id AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+link AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM sets UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x),
+low AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN low ON doc_id = x
+"""
+
+ORACLES = {"op1_line_dedup": LINES, "op4_exact_dedup": EXACT, "op9_mixing": MIX, "op10_ngram_jaccard": JACCARD}
