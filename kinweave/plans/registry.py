@@ -1,11 +1,601 @@
-"""Queries and their SQL oracles by name."""
+"""Registered queries of the entity-resolution operators on the driver's tables, each with its SQL oracle."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kinweave.config import Config
+from kinweave.functions import text, vector
+from kinweave.operators import graph, groups, jobs, match, notes, proposals, report, review
+from kinweave.plans import oracles
+from kinweave.sources import io
+
+CFG = Config(t_auto=0.40, t_low=0.30, batch_size=2)
+YES_FROM, NO_BELOW = 0.38, 0.33
+
+_QUERIES: dict = {}
+
+
+def _query(f):
+    _QUERIES[f.__name__] = f
+    return f
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
+
+
+# --- frames from the tables ----------------------------------------------------------------------
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _documents(spark, d) -> DataFrame:
+    return _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("account_id"), F.col("text").alias("account_name"), "lang", "source")
+
+
+def _parts(spark, d) -> DataFrame:
+    return _t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("account_id"), F.col("p_name").alias("account_name"))
+
+
+def _vectors(spark, d) -> DataFrame:
+    return _t(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding", F.col("label").cast("string").alias("label"))
+
+
+def _pairs(spark, d, least: float | None = None) -> DataFrame:
+    return match.similarity_pairs(_vectors(spark, d), least=least)
+
+
+def _band(spark, d) -> DataFrame:
+    return match.route(_pairs(spark, d, CFG.t_low), CFG)
+
+
+def _top(spark, d) -> DataFrame:
+    return jobs.ranked(_band(spark, d), CFG)
+
+
+def _judged(spark, d, yes: float = YES_FROM, no: float = NO_BELOW) -> DataFrame:
+    return jobs.band_judge(yes, no)(_top(spark, d))
+
+
+def _edges(spark, d) -> DataFrame:
+    return _pairs(spark, d, CFG.t_auto).select("pair_key", F.col("master_a_id").alias("m1"), F.col("master_b_id").alias("m2"))
+
+
+def _approvals(spark, d) -> DataFrame:
+    """Queue rows of every third focal are approved, of every sixth after notes."""
+    number = F.col("focal_master_id").cast("long")
+    rows = review.queue(_judged(spark, d), CFG)
+    return rows.withColumns({"status": F.when(number % 3 == 0, "APPROVED").otherwise("QUEUED"), "decision": F.when(number % 6 == 0, "HUMAN_APPROVED_AFTER_NOTES")})
+
+
+def _gate(spark, d) -> DataFrame:
+    """Judged pairs: the admin rejects every fifth focal and approves every seventh that isn't."""
+    number = F.col("focal_master_id").cast("long")
+    action = F.when(number % 5 == 0, "REJECT").when(number % 7 == 0, "APPROVE")
+    return _judged(spark, d).select("pair_key", action.alias("action")).filter("action IS NOT NULL")
+
+
+def _draft(spark, d) -> DataFrame:
+    return proposals.draft(_band(spark, d), _judged(spark, d), _approvals(spark, d))
+
+
+def _final(spark, d) -> DataFrame:
+    return proposals.admin_gate(_draft(spark, d), _gate(spark, d))
+
+
+def _chains(spark, d) -> DataFrame:
+    """Documents whose number ends in 1 or 2 map to the number below, a chain of two steps."""
+    number = F.col("doc_id").cast("long")
+    rows = _t(spark, d, "documents").filter(number % 10 < 3).filter(number % 10 > 0)
+    return rows.select(number.cast("string").alias("old_master_id"), (number - 1).cast("string").alias("canonical_master_id"))
+
+
+def _applied(spark, d) -> DataFrame:
+    return proposals.postapply(match.perfect_match(_documents(spark, d)), proposals.compress(_chains(spark, d)))
+
+
+def _part_groups(spark, d) -> DataFrame:
+    return match.perfect_match(_parts(spark, d))
+
+
+def _operations(spark, d, kind: str) -> DataFrame:
+    """Every thirteenth part is the target; a new master is the part numbered one."""
+    rows = _t(spark, d, "part").filter("p_partkey % 13 = 0")
+    return rows.select(
+        F.col("p_partkey").cast("long").alias("sequence"),
+        F.concat(F.lit("op_"), F.col("p_partkey").cast("string")).alias("operation_id"),
+        F.lit(kind).alias("operation"),
+        F.col("p_partkey").cast("string").alias("target_id"),
+        F.lit("1" if kind in (groups.REPARENT, groups.ADD_PARENT) else None).cast("string").alias("new_master"),
+    )
+
+
+def _r6(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+# --- scalar functions ----------------------------------------------------------------------------
+
+
+@_query
+def f01_normalize_name(spark, d):
+    docs = _t(spark, d, "documents").select(F.lit("doc").alias("kind"), F.col("doc_id").cast("long").alias("id"), text.normalize_name(F.col("text")).alias("normalized_name"))
+    parts = _t(spark, d, "part").select(F.lit("part").alias("kind"), F.col("p_partkey").cast("long").alias("id"), text.normalize_name(F.col("p_name")).alias("normalized_name"))
+    return docs.unionByName(parts)
+
+
+@_query
+def f02_pair_key(spark, d):
+    a, b = F.col("vec_id").cast("string"), (F.col("vec_id") + 1).cast("string")
+    rows = _t(spark, d, "embeddings").select("vec_id", text.pair_key(a, b).alias("pair_key"))
+    left, right = text.split_pair(F.col("pair_key"))
+    return rows.select("vec_id", "pair_key", left.alias("left_id"), right.alias("right_id"))
+
+
+@_query
+def f03_weighted_similarity_text(spark, d):
+    cols = ("p_name", "p_brand", "p_type")
+    return _t(spark, d, "part").select("p_partkey", text.weighted_text(cols, {"p_name": 2.0, "p_brand": 0.5}).alias("similarity_text"))
+
+
+@_query
+def f04_combined_text(spark, d):
+    return _t(spark, d, "part").select("p_partkey", text.combined_text(("p_name", "p_brand", "p_type")).alias("combined_text"))
+
+
+def _neighbours(spark, d) -> DataFrame:
+    rows = _t(spark, d, "embeddings")
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"), F.col("label").alias("other_label"))
+    return rows.join(after, "vec_id")
+
+
+@_query
+def f05_cosine(spark, d):
+    return _neighbours(spark, d).select("vec_id", F.round(vector.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
+
+
+def _names(spark, d) -> DataFrame:
+    return _t(spark, d, "part").select(text.normalize_name(F.col("p_name")).alias("name")).distinct()
+
+
+@_query
+def f06_token_sort_ratio(spark, d):
+    a = _names(spark, d)
+    pairs = a.join(a.withColumnRenamed("name", "other"), F.col("name") < F.col("other"))
+    return pairs.select("name", "other", F.round(text.token_sort_ratio("name", "other"), 6).alias("ratio"))
+
+
+@_query
+def f07_combined_score(spark, d):
+    cfg = Config.pandas_profile()
+    say = lambda n, label: F.concat(F.lit("vec "), n.cast("string"), F.lit(" of label "), label.cast("string"))
+    fuzz = text.token_sort_ratio(say(F.col("vec_id"), F.col("label")), say(F.col("vec_id") + 1, F.col("other_label")))
+    emb = vector.cosine(F.col("embedding"), F.col("other"))
+    return _neighbours(spark, d).select("vec_id", F.round(F.lit(cfg.emb_weight) * emb + F.lit(cfg.fuzz_weight) * fuzz, 6).alias("score"))
+
+
+@_query
+def f13_context_hash(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", text.context_hash(F.col("text")).alias("context_hash"))
+
+
+@_query
+def f16_json_decode(spark, d):
+    k = F.from_json("props", "k long")["k"]
+    return _t(spark, d, "events").select("event_id", k.alias("k"), F.to_json(F.struct(k.alias("k"))).alias("props"))
+
+
+@_query
+def f18_csv_list(spark, d):
+    rows = _t(spark, d, "part").select("p_partkey", F.concat(F.lit(" ,"), F.regexp_replace("p_name", " ", " , "), F.lit(",")).alias("listed"))
+    return rows.select("p_partkey", F.array_join(text.csv_list(F.col("listed")), "+").alias("items"))
+
+
+# --- matching ------------------------------------------------------------------------------------
+
+_GROUP = ["account_id", "master_account_id", "group_size", "is_master", "is_dupe", "stage_rule"]
+
+
+@_query
+def d01_perfect_match(spark, d):
+    return match.perfect_match(_documents(spark, d)).select(*_GROUP)
+
+
+@_query
+def d01_perfect_match_parts(spark, d):
+    return _part_groups(spark, d).select(*_GROUP)
+
+
+@_query
+def d02_apply_mapping(spark, d):
+    return _applied(spark, d).select(*_GROUP)
+
+
+@_query
+def d03_masters_slice(spark, d):
+    return match.masters(match.perfect_match(_documents(spark, d))).select("account_id", "group_size", "lang", "source")
+
+
+@_query
+def d04_similarity_pairs(spark, d):
+    decided = _edges(spark, d).filter((F.col("m1").cast("long") + F.col("m2").cast("long")) % 2 == 0)
+    return _r6(match.similarity_pairs(_vectors(spark, d), decided), "score")
+
+
+@_query
+def d05_route_candidates(spark, d):
+    return _r6(match.route(_pairs(spark, d), CFG), "score")
+
+
+@_query
+def a06_route_counts(spark, d):
+    return report.value_counts(match.route(_pairs(spark, d), CFG), "route")
+
+
+@_query
+def d25_incremental(spark, d):
+    vectors = _vectors(spark, d)
+    changed = vectors.filter(F.col("id").cast("long") % 10 == 0)
+    twist = F.transform("embedding", lambda x: -x).cast("array<float>")
+    before = vectors.withColumn("embedding", F.when(F.col("id").cast("long") % 10 == 0, twist).otherwise(F.col("embedding")))
+    old = match.similarity_pairs(before)
+    return _r6(match.incremental_pairs(old, vectors, changed.select("id")), "score")
+
+
+# --- jobs and review -----------------------------------------------------------------------------
+
+
+@_query
+def w01_llm_top_n(spark, d):
+    return _r6(_top(spark, d).select("pair_key", "master_a_id", "master_b_id", "score", "rank"), "score")
+
+
+@_query
+def w05_batches(spark, d):
+    return _top(spark, d).groupBy("master_a_id", "batch_index").agg(F.count("*").alias("n"))
+
+
+@_query
+def d06_llm_jobs(spark, d):
+    work = jobs.build(_top(spark, d), _vectors(spark, d).select("id", "label"))
+    listed = F.array_join(F.transform("candidates", lambda c: F.concat_ws(":", c["candidate_master_id"], c["candidate_label"])), ",")
+    return work.select("focal_master_id", "batch_index", "focal_label", listed.alias("candidates"))
+
+
+@_query
+def d07_judge_offline(spark, d):
+    return _r6(_judged(spark, d).drop("llm_reason"), "score")
+
+
+class _Banded:
+    """The offline judge behind the protocol; leaves reasons, and the confidence of unsure ones, to the defaults."""
+
+    @staticmethod
+    def judge(focal, candidates, context):
+        out = []
+        for c in candidates:
+            s = c["score"]
+            row = {"candidate_master_id": c["candidate_master_id"], "score": s}
+            if s >= YES_FROM or s < NO_BELOW:
+                row |= {"decision": "YES" if s >= YES_FROM else "NO", "confidence": round(2 * s, 6)}
+            out.append(row)
+        return out
+
+
+@_query
+def x04_judge_protocol(spark, d):
+    work = jobs.build(_top(spark, d), _vectors(spark, d).select("id", "label"))
+    return _r6(jobs.judge(work, _Banded.judge), "score", "llm_confidence")
+
+
+@_query
+def d08_rerun(spark, d):
+    """Rerun around two focals, with notes by precedence."""
+    judged = _judged(spark, d)
+    number = F.col("focal_master_id").cast("long")
+    chosen = judged.filter(number % 20 == 0).select(F.col("focal_master_id").alias("id"))
+    rows = judged.join(jobs.seeded(judged, chosen, "focal_master_id", "candidate_master_id").withColumnRenamed("id", "focal_master_id"), "focal_master_id", "left_semi")
+    pair_notes = judged.filter(number % 3 == 0).select("pair_key", F.concat(F.lit("pair "), F.col("pair_key")).alias("note"))
+    focal_notes = judged.filter(number % 2 == 0).select("focal_master_id", F.concat(F.lit("focal "), F.col("focal_master_id")).alias("note")).distinct()
+    return jobs.notes_for(rows, pair_notes, focal_notes, "everyone").select("pair_key", "context_used", "context_hash")
+
+
+@_query
+def d09_review_queue(spark, d):
+    return _r6(review.queue(_judged(spark, d), CFG).select("pair_key", "score", "llm_decision", "queue_reason", "status"), "score")
+
+
+@_query
+def d10_rerun_updates(spark, d):
+    rerun = _judged(spark, d, 0.35, 0.31)
+    queued = review.queue(_judged(spark, d), CFG).select("pair_key", F.lit("ann").alias("reviewer"), F.lit("see").alias("notes"), F.lit(1).alias("enqueued_at"))
+    cfg = CFG.with_(auto_approve_confidence=0.72)
+    return review.rerun_updates(rerun, queued, cfg).select("pair_key", "llm_decision", "status", "decision", "reviewer", "notes")
+
+
+@_query
+def d11_decision_updates(spark, d):
+    rows = _t(spark, d, "events").select(F.when(F.col("user_id") % 9 != 0, F.col("user_id").cast("string")).alias("pair_key"), F.when(F.col("event_id") % 4 != 0, F.col("event_type")).alias("decision"), "event_id")
+    return review.decision_updates(rows, CFG)
+
+
+@_query
+def d23_decision_changes(spark, d):
+    return review.decision_changes(_judged(spark, d), _judged(spark, d, 0.35, 0.31))
+
+
+def _diff(spark, d) -> DataFrame:
+    after = _judged(spark, d, 0.35, 0.31).filter(F.col("focal_master_id").cast("long") % 2 == 0)
+    return review.rerun_diff(_judged(spark, d), after)
+
+
+@_query
+def d29_rerun_diff(spark, d):
+    return _diff(spark, d)
+
+
+@_query
+def d27_flat_decisions(spark, d):
+    label = _vectors(spark, d).select("id", "label")
+    out = _judged(spark, d).drop("llm_reason")
+    for side in ("focal", "candidate"):
+        out = out.join(label.select(F.col("id").alias(f"{side}_master_id"), F.col("label").alias(f"{side}_name")), f"{side}_master_id", "left")
+    return _r6(out, "score")
+
+
+def _human(spark, d) -> DataFrame:
+    judged = _judged(spark, d)
+    number = F.col("focal_master_id").cast("long")
+    return review.human_decisions(judged, judged.filter(number % 4 == 0), judged.filter(number % 6 == 0))
+
+
+@_query
+def d28_human_decisions(spark, d):
+    return _human(spark, d).select("pair_key", "human_decision", "final_decision", "lineage")
+
+
+@_query
+def d30_resolved_lineage(spark, d):
+    return report.value_counts(review.split_resolved(_human(spark, d)).withColumn("key", F.concat_ws(":", "state", "lineage")), "key")
+
+
+@_query
+def v11_decision_history(spark, d):
+    return report.history(_diff(spark, d), _human(spark, d))
+
+
+@_query
+def a07_decision_counts(spark, d):
+    return report.decision_counts(_judged(spark, d))
+
+
+@_query
+def p15_decision_view(spark, d):
+    shown = _judged(spark, d).filter(F.col("llm_decision").isin("YES", "NEEDS_CONFIRMATION"))
+    place = F.row_number().over(Window.orderBy(F.desc("llm_confidence"), F.desc("score"), "pair_key"))
+    return shown.select("pair_key", "llm_decision", place.alias("place"))
+
+
+# --- proposals and ledgers -----------------------------------------------------------------------
+
+
+@_query
+def d12_proposals(spark, d):
+    return _r6(_draft(spark, d), "score", "confidence")
+
+
+@_query
+def d13_admin_gate(spark, d):
+    return _r6(_final(spark, d), "score", "confidence")
+
+
+@_query
+def d15_decision_ledger(spark, d):
+    return _r6(proposals.decision_rows(_final(spark, d), _gate(spark, d)), "score")
+
+
+@_query
+def d16_mapping_delta(spark, d):
+    return proposals.mapping_delta(_final(spark, d))
+
+
+@_query
+def w03_latest_per_key(spark, d):
+    rows = io.latest(_t(spark, d, "events"), ["user_id"], F.col("ts"), F.col("event_id"))
+    return rows.select("user_id", "event_id", "event_type")
+
+
+@_query
+def s09_upsert_keep_last(spark, d):
+    rows = _t(spark, d, "events").select("user_id", "event_id", "event_type")
+    out = io.upsert(rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1"), ["user_id"], F.col("event_id"))
+    return out
+
+
+@_query
+def s10_append_roundtrip(spark, d):
+    """The decision ledger of two runs, one of them written twice, read back."""
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='kinweave-')}/ledger-{uuid.uuid4().hex}"
+    rows = _t(spark, d, "nation").select(F.col("n_name").alias("pair_key"), F.col("n_nationkey").cast("double").alias("score"), F.lit("YES").alias("decision"), (F.col("n_nationkey") % 2).cast("string").alias("run_id"))
+    io.append(rows, folder, "decisions")
+    io.append(rows.filter("run_id = '1'"), folder, "decisions")
+    return io.read(spark, folder, "decisions").select("pair_key", "score", "decision", "run_id")
+
+
+# --- graph ---------------------------------------------------------------------------------------
+
+
+@_query
+def g01_components(spark, d):
+    return graph.connected_components(_edges(spark, d), "m1", "m2")
+
+
+@_query
+def g02_compress_mapping(spark, d):
+    return proposals.compress(_chains(spark, d))
+
+
+@_query
+def g03_component_sets(spark, d):
+    parts = graph.connected_components(_edges(spark, d), "m1", "m2")
+    return parts.groupBy("root").agg(F.array_join(F.sort_array(F.collect_set("node")), ",").alias("members"))
+
+
+def _seeds(spark, d) -> DataFrame:
+    return _vectors(spark, d).filter(F.col("id").cast("long") < 50).select("id")
+
+
+@_query
+def g04_seeded_component(spark, d):
+    return jobs.seeded(_edges(spark, d), _seeds(spark, d), "m1", "m2")
+
+
+@_query
+def g05_scope_filter(spark, d):
+    related = _edges(spark, d).select(F.col("m1").alias("master_a_id"), F.col("m2").alias("master_b_id"))
+    out = None
+    for scope in ("all", "foci", "foci_related"):
+        own = jobs.scoped(_band(spark, d), scope, _seeds(spark, d), related).select(F.lit(scope).alias("scope"), "pair_key")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@_query
+def g06_queue_component(spark, d):
+    queued = review.queue(_judged(spark, d), CFG)
+    reached = jobs.seeded(queued, _seeds(spark, d), "focal_master_id", "candidate_master_id")
+    return reached.intersect(queued.select(F.col("focal_master_id").alias("id")))
+
+
+def _yes(spark, d) -> DataFrame:
+    return _judged(spark, d).filter("llm_decision = 'YES'")
+
+
+@_query
+def g07_affected_accounts(spark, d):
+    changes = review.decision_changes(_judged(spark, d), _judged(spark, d, 0.36, 0.33))
+    return review.affected_accounts(changes, _yes(spark, d))
+
+
+@_query
+def g08_transitive_yes(spark, d):
+    out = review.transitive_yes(_judged(spark, d, 0.345, 0.33))
+    return out.select("pair_key", "llm_decision", "llm_reason")
+
+
+# --- tables after a run, groups ------------------------------------------------------------------
+
+
+@_query
+def d17_postapply(spark, d):
+    return _applied(spark, d).select(*_GROUP)
+
+
+@_query
+def d17_gold(spark, d):
+    return proposals.gold(_applied(spark, d)).select("account_id", "master_account_id", "group_size", "is_dupe", "lang")
+
+
+@_query
+def a10_merge_kpis(spark, d):
+    return report.merge_kpis(match.perfect_match(_documents(spark, d)), _applied(spark, d))
+
+
+@_query
+def a05_singletons(spark, d):
+    return report.singletons(match.perfect_match(_documents(spark, d)))
+
+
+def _after(spark, d, kind: str) -> DataFrame:
+    matched = _part_groups(spark, d)
+    over = groups.overrides(matched, _operations(spark, d, kind))
+    none = spark.createDataFrame([], "old_master_id string, canonical_master_id string")
+    return match.apply_mapping(matched, none, over).select("account_id", "master_account_id", "group_size", "is_master")
+
+
+@_query
+def d18_remove_member(spark, d):
+    return _after(spark, d, groups.REMOVE)
+
+
+@_query
+def d19_reparent_member(spark, d):
+    return _after(spark, d, groups.REPARENT)
+
+
+@_query
+def d20_add_parent(spark, d):
+    return _after(spark, d, groups.ADD_PARENT)
+
+
+@_query
+def d21_breakup_group(spark, d):
+    return _after(spark, d, groups.BREAK_UP)
+
+
+@_query
+def d22_operation_log(spark, d):
+    ops = _operations(spark, d, groups.BREAK_UP).unionByName(_operations(spark, d, "sing"))
+    return groups.log(_part_groups(spark, d), ops).select("operation_id", "operation", "status", "error", "members_affected")
+
+
+@_query
+def v16_allowed_operations(spark, d):
+    ops = _operations(spark, d, groups.REMOVE).unionByName(_operations(spark, d, groups.REPARENT)).unionByName(_operations(spark, d, groups.BREAK_UP))
+    return groups.allowed(_part_groups(spark, d), ops).select("operation", "target_id")
+
+
+@_query
+def d31_drilldown(spark, d):
+    return report.drilldown(_part_groups(spark, d), "1")
+
+
+@_query
+def d31_pairs_of(spark, d):
+    return _r6(report.pairs_of(_pairs(spark, d), "7"), "score")
+
+
+@_query
+def d32_adjustments(spark, d):
+    ops = None
+    for kind in (groups.REMOVE, groups.REPARENT, groups.ADD_PARENT, groups.BREAK_UP, "sing"):
+        own = _operations(spark, d, kind).withColumn("operation_id", F.concat_ws("-", "operation_id", F.lit(kind)))
+        ops = own if ops is None else ops.unionByName(own)
+    return report.adjustment_texts(ops)
+
+
+@_query
+def d33_notes_context(spark, d):
+    rows = _t(spark, d, "conversations").select(F.when(F.col("conv_id") == 0, "GLOBAL").otherwise("FOCAL").alias("scope"), F.col("conv_id").cast("string").alias("focal_master_id"), F.col("text").alias("note"), "turn")
+    return notes.render(rows, ["turn"])
+
+
+@_query
+def s22_notes_store(spark, d):
+    rows = _t(spark, d, "conversations").select(F.lit("FOCAL").alias("scope"), (F.col("conv_id") % 7).cast("string").alias("focal_master_id"), F.concat(F.lit(" !"), "role", F.lit(" ")).alias("note"), (F.col("conv_id") * 1000 + F.col("turn")).alias("added_at"))
+    return notes.store(rows.limit(0), rows, F.col("added_at"))
+
+
+@_query
+def d35_status_report(spark, d):
+    return report.status({"full_match": match.perfect_match(_documents(spark, d)), "candidates": _band(spark, d), "judged": _judged(spark, d)})
+
+
+@_query
+def d37_full_cycle(spark, d):
+    """Vectors as accounts named by label and id, from judgement to gold."""
+    accounts = _vectors(spark, d).select(F.col("id").alias("account_id"), F.concat_ws(" ", F.lit("vec"), "id").alias("account_name"))
+    matched = match.perfect_match(accounts)
+    applied = proposals.postapply(matched, proposals.mapping_delta(_final(spark, d)))
+    return proposals.gold(applied).select("account_id", "group_size", "is_dupe")
