@@ -92,22 +92,23 @@ _PRINTS = "doc_id long, fingerprint binary, n_bytes long, n_chars long, text_sha
 def _chunk_prints(modulus: int):
     def run(batches):
         for batch in batches:
-            found = [fingerprint(normalised(t), modulus) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([x.to_bytes(16, "big") for x, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())],
-                ["row", "chunk", "fingerprint", "n_bytes"],
-            )
+            found = [fingerprint(normalised(t), modulus) for t in batch.column("part").to_pylist()]
+            rest = [x for x in batch.schema.names if x != "part"]
+            yield words.plain([*rest, "fingerprint", "n_bytes"], [*(batch.column(x) for x in rest), pa.array([x.to_bytes(16, "big") for x, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())])
 
     return run
 
 
 def _combined(modulus: int):
     def run(key: tuple[pa.Scalar, ...], chunks: pa.Table) -> pa.Table:
-        chunks = chunks.sort_by("chunk")
-        out = (0, 0)
-        for x, n in zip(chunks["fingerprint"].to_pylist(), chunks["n_bytes"].to_pylist(), strict=True):
-            out = combine(out, (int.from_bytes(x, "big"), n), modulus)
-        return pa.table({"row": [key[0].as_py()], "fingerprint": pa.array([out[0].to_bytes(16, "big")], pa.binary()), "n_bytes": [out[1]]})
+        parts, out = {}, (0, 0)
+        for number, x, n in zip(chunks["chunk"].to_pylist(), chunks["fingerprint"].to_pylist(), chunks["n_bytes"].to_pylist(), strict=True):
+            parts[number] = (int.from_bytes(x, "big"), n)
+        for number in sorted(parts):
+            out = combine(out, parts[number], modulus)
+        row = {"doc_id": key[0], "fingerprint": pa.scalar(out[0].to_bytes(16, "big"), pa.binary()), "n_bytes": pa.scalar(out[1], pa.int64()), "n_chars": chunks["n_chars"][0], "text_sha256": chunks["text_sha256"][0]}
+        same = len(chunks) // len(parts)  # rows that repeat doc_id and text
+        return pa.table({k: pa.repeat(v, same) for k, v in row.items()})
 
     return run
 
@@ -118,16 +119,13 @@ def fingerprints(table: DataFrame, modulus: int | None = None, huge_chars: int =
     docs = shards.documents(table)
     long = F.coalesce(F.length("text") > huge_chars, F.lit(False))
     usual = docs.filter(~long).mapInArrow(_prints(modulus), _PRINTS)
-    huge = docs.filter(long).withColumn("row", F.monotonically_increasing_id())
     n = F.ceil(F.length("text") / huge_chars).cast("int")
-    chunks = huge.select("row", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
-    chunks = chunks.select("row", "chunk", F.substring("text", F.col("chunk") * huge_chars + 1, F.lit(huge_chars)).alias("part"))
-    chunks = chunks.repartition("row", "chunk").mapInArrow(_chunk_prints(modulus), "row long, chunk int, fingerprint binary, n_bytes long")
-    whole = chunks.groupBy("row").applyInArrow(_combined(modulus), "row long, fingerprint binary, n_bytes long")
-    space = " \t\n\x0b\x0c\r"
-    facts = huge.select("doc_id", "row", F.length("text").cast("long").alias("n_chars"), F.sha2(F.translate("text", space, "").cast("binary"), 256).alias("text_sha256"))
-    huge = facts.join(whole, "row").select("doc_id", "fingerprint", "n_bytes", "n_chars", "text_sha256")
-    return usual.unionByName(huge)
+    sha = F.sha2(F.translate("text", " \t\n\x0b\x0c\r", "").cast("binary"), 256)
+    huge = docs.filter(long).select("doc_id", F.sha2("text", 256).alias("mark"), F.length("text").cast("long").alias("n_chars"), sha.alias("text_sha256"), "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
+    part = F.substring("text", F.col("chunk") * huge_chars + 1, F.lit(huge_chars)).alias("part")
+    chunks = huge.select("doc_id", "mark", "n_chars", "text_sha256", "chunk", part).repartition("mark", "chunk")
+    chunks = chunks.mapInArrow(_chunk_prints(modulus), "doc_id long, mark string, n_chars long, text_sha256 string, chunk int, fingerprint binary, n_bytes long")
+    return usual.unionByName(chunks.groupBy("doc_id", "mark").applyInArrow(_combined(modulus), _PRINTS))
 
 
 def _pieces(batches, chunk: int):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, ngram_join, pieces, sql, toxicity
+from . import ann, exact_dedup, line_dedup, lm_mixing, mixing, ngram_join, pieces, pii, sql, substring_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter(ann.hundredth()))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its number of tokens, digests of the ids and of the decoded text, and whether that is the text."""
     documents = _read(spark, sf_dir, "documents")
@@ -33,6 +38,20 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), digest.alias("decoded_sha256"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(_read(spark, sf_dir, "documents"))
+    return out.withColumn("base_sha256", F.sha2(F.col("base").cast("binary"), 256)).drop("base")
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_mixing.score(_read(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents")
     return toxicity.score(documents, toxicity.fit(documents, _read(spark, sf_dir, "labels")))
@@ -42,7 +61,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(_read(spark, sf_dir, "documents"))
 
 
-_ALL = [op1_line_dedup, op3_sentencepiece, op4_exact_dedup, op8_toxicity, op9_mixing, op10_ngram_jaccard]
+_ALL = [op1_line_dedup, op2_ann, op3_sentencepiece, op4_exact_dedup, op5_substring_dedup, op6_pii, op7_lm_scoring, op8_toxicity, op9_mixing, op10_ngram_jaccard]
 
 
 def queries() -> dict:

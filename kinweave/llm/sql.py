@@ -69,4 +69,21 @@ low AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN low ON doc_id = x
 """
 
-ORACLES = {"op1_line_dedup": LINES, "op4_exact_dedup": EXACT, "op9_mixing": MIX, "op10_ngram_jaccard": JACCARD}
+REPEATS = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(1, greatest(len(w) - 33, 1))) AS pos, w FROM d),
+marked AS (SELECT doc_id, pos, md5(array_to_string(list_slice(w, pos, pos + 34), ' ')) AS m FROM windows),
+again AS (SELECT m FROM marked GROUP BY m HAVING count(*) > 1),
+hit AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 35)) AS pos FROM marked SEMI JOIN again USING (m)),
+gone AS (SELECT doc_id, list(pos) AS pos FROM hit GROUP BY doc_id),
+kept AS (
+  SELECT d.doc_id, d.w, coalesce(len(g.pos), 0) AS n, g.pos AS pos FROM d LEFT JOIN gone g USING (doc_id)),
+each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+stay AS (
+  SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.pos) AS t FROM each e ANTI JOIN hit USING (doc_id, pos) GROUP BY e.doc_id)
+SELECT k.doc_id, CAST(len(k.w) AS BIGINT) AS n_words, CAST(k.n AS BIGINT) AS n_removed, sha256(coalesce(s.t, '')) AS kept_sha256
+FROM kept k LEFT JOIN stay s USING (doc_id)
+"""
+
+ORACLES = {"op5_substring_dedup": REPEATS, "op1_line_dedup": LINES, "op4_exact_dedup": EXACT, "op9_mixing": MIX, "op10_ngram_jaccard": JACCARD}
