@@ -97,12 +97,12 @@ def runs(*keys: np.ndarray) -> np.ndarray:
 NO_ID = 2**63 - 1
 
 
-def documents(df: DataFrame, *more: str) -> DataFrame:
-    """doc_id and text (and columns asked for by name), whatever else the table holds."""
+def documents(df: DataFrame, *more) -> DataFrame:
+    """doc_id and text (and more columns, by name or expression), whatever else the table holds."""
     return df.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
         F.col("text").cast("string").alias("text"),
-        *[F.col(c) for c in more],
+        *[F.col(c) if isinstance(c, str) else c for c in more],
     )
 
 

@@ -136,12 +136,13 @@ def test_round_trip(spark, tokenizer):
 
 
 def test_cuts_lose_nothing(tokenizer):
-    whole = pieces.Tokenizer(pieces.read_model())
+    model = pieces.read_model()
+    whole = pieces.Tokenizer(model)
     assert whole.cuts
     whole.cuts = False
     for _, t in corpus()[:40]:
         if t:
-            parts, one = (sum(pieces.read_model()[i][1] for i in np.frombuffer(x.encode(t[:400].replace("\n", " ")), "<u4")) for x in (tokenizer, whole))
+            parts, one = (sum(model[i][1] for i in np.frombuffer(x.encode(t[:400].replace("\n", " ")), "<u4")) for x in (tokenizer, whole))
             assert parts == pytest.approx(one)
 
 
@@ -283,7 +284,7 @@ def slow_segments(s):
 def test_segments_match_the_definition():
     rng = np.random.default_rng(3)
     for _ in range(300):
-        s = np.round(rng.normal(-0.2, 1, rng.integers(0, 25)), 3)
+        s = rng.normal(-0.2, 1, rng.integers(0, 25))
         got = toxicity.segments(s)
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in slow_segments(s)]
 
