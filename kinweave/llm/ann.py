@@ -7,12 +7,12 @@ block a hypothesis test drops the candidates whose partial distance already show
 standard errors, that the whole one exceeds the k-th best so far. The survivors' distances are then
 taken exactly, in double precision, on the vectors as they are given.
 
-The centroids are fitted on at most ``max_sample`` vectors, the first by a hash of their id; the first
-``max_probe_sample`` of those are also sent to the queries, for a first bound on the k-th distance.
-Every vector is indexed. A list is cut into blocks of about ``block_rows`` by a hash of the id, so a
+The centroids are fitted on at most ``max_sample`` vectors, the first by a hash of their id. On that
+sample the share of lists is measured that holds ``recall`` of the true neighbours; that many lists
+are probed. The first ``MAX_PROBE_SAMPLE`` of the sample also travel with the queries: the nearest of
+them bound the k-th distance from the start, and count as found. Every vector is indexed. A list is cut into blocks of about ``block_rows`` by a hash of the id, so a
 vector that stands a million times is spread over as many blocks as it needs; a query goes to each
-block of the lists that it probes. A query probes ``probe_share`` of the lists, and more where those
-hold too few vectors.
+block of the lists that it probes, and to more lists where those hold too few vectors.
 
 Vectors that are null, zero, of another length than most, or that hold null or non-finite numbers
 take no part, and neither do rows with a null vec_id. Rows that repeat a vec_id count as one
@@ -35,7 +35,7 @@ MAX_SAMPLE = 16_384
 MAX_PROBE_SAMPLE = 1024
 MAX_LISTS = 1024
 BLOCK_ROWS = 4096
-PROBE_SHARE = 0.5
+RECALL = 0.98
 SLACK = 2.1
 COLUMNS = 8
 _SCHEMA = "tile int, asks boolean, data binary"
@@ -52,6 +52,7 @@ class Index:
     first_tile: np.ndarray  # tiles before each list; one more at the end
     sample_ids: np.ndarray
     sample: np.ndarray
+    probe_share: float
 
 
 def usable(ids, column, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,11 +86,24 @@ def _lists(x: np.ndarray, n: int, rounds: int = 12, seed: int = 7) -> np.ndarray
     return c
 
 
+def _share(x: np.ndarray, centroids: np.ndarray, k: int, recall: float, asked: int = 512) -> float:
+    """The share of nearest lists that holds ``recall`` of the true k neighbours of some sample vectors."""
+    at, ranks = _nearest(x, centroids), []
+    for i in range(min(asked, len(x))):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        near = np.argsort(d, kind="stable")[: min(k, len(x) - 1)]
+        place = np.argsort(np.argsort((centroids**2).sum(1) - 2 * centroids @ x[i], kind="stable"))
+        ranks.append(place[at[near]])
+    ranks = np.concatenate(ranks) if ranks else np.zeros(0)
+    return float((np.quantile(ranks, recall) + 1) / len(centroids)) if len(ranks) else 1.0
+
+
 def _source(table: DataFrame) -> DataFrame:
     return table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
-def fit(table: DataFrame, max_sample: int = MAX_SAMPLE, max_lists: int = MAX_LISTS, block_rows: int = BLOCK_ROWS, seed: int = 7) -> Index | None:
+def fit(table: DataFrame, max_sample: int = MAX_SAMPLE, max_lists: int = MAX_LISTS, block_rows: int = BLOCK_ROWS, recall: float = RECALL, k: int = 10, seed: int = 7) -> Index | None:
     """None if no vector can take part."""
     rows = _source(table).dropna()
     dims = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).filter("d > 0").orderBy(F.desc("n"), "d").first()
@@ -116,7 +130,7 @@ def fit(table: DataFrame, max_sample: int = MAX_SAMPLE, max_lists: int = MAX_LIS
         sizes[r["list"]] = r["n"]
     tiles = np.append(0, np.cumsum(-(-sizes // block_rows)))
     first = slice(0, MAX_PROBE_SAMPLE)
-    return Index(dims, turn, centroids, sizes, tiles, ids[first], sample[first])
+    return Index(dims, turn, centroids, sizes, tiles, ids[first], sample[first], _share(sample @ turn, centroids, k, recall))
 
 
 def _packed(tile: np.ndarray, asks: bool, parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -148,6 +162,15 @@ def _candidates(index: Index):
     return run
 
 
+def _sampled(index: Index, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vec_id, squared distance) of the k nearest of the travelling sample, each id once."""
+    other = index.sample_ids != own
+    ids, d = index.sample_ids[other], ((index.sample[other] - query) ** 2).sum(1)
+    order = np.lexsort((ids, d))
+    once = np.sort(np.unique(ids[order], return_index=True)[1])[:k]
+    return ids[order][once], d[order][once]
+
+
 def _questions(index: Index, k: int, probe_share: float):
     def run(batches):
         least = max(1, int(np.ceil(probe_share * len(index.centroids))))
@@ -159,9 +182,9 @@ def _questions(index: Index, k: int, probe_share: float):
             y = x @ index.turn
             far = (index.centroids**2).sum(1) - 2 * y @ index.centroids.T
             for i in range(len(ids)):
-                d = ((index.sample - x[i]) ** 2).sum(1)[index.sample_ids != ids[i]]
-                if len(np.unique(index.sample_ids)) == len(index.sample_ids) and len(d) >= k:
-                    bound[i] = np.partition(d, k - 1)[k - 1]
+                _, d = _sampled(index, ids[i], x[i], k)
+                if len(d) == k:
+                    bound[i] = d[-1]
                 order = np.argsort(far[i], kind="stable")
                 enough = int(np.searchsorted(np.cumsum(index.sizes[order]), 4 * k + 1)) + 1
                 for j in order[: max(least, enough)]:
@@ -173,6 +196,17 @@ def _questions(index: Index, k: int, probe_share: float):
     return run
 
 
+def _found_in_sample(index: Index, k: int):
+    def run(batches):
+        for b in batches:
+            ids, x = usable(b.column(0), b.column(1), index.dims)
+            for own, query in zip(ids.tolist(), x, strict=True):
+                near, d = _sampled(index, own, query, k)
+                yield words.plain(["query_id", "vec_id", "score"], [np.full(len(near), own, np.int64), near, np.sqrt(d)])
+
+    return run
+
+
 class Scan:
     """The candidates of one block in column blocks of the turned space."""
 
@@ -228,16 +262,17 @@ def _search(index: Index, k: int, slack: float):
     return run
 
 
-def search(table: DataFrame, queries: DataFrame, k: int = 10, index: Index | None = None, probe_share: float = PROBE_SHARE, slack: float = SLACK) -> DataFrame:
+def search(table: DataFrame, queries: DataFrame, k: int = 10, index: Index | None = None, probe_share: float | None = None, slack: float = SLACK) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest that are found for each row of queries."""
-    index = index or fit(table)
+    index = index or fit(table, k=k)
     empty = table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if index is None:
         return empty
     n = shards.shard_count(table.sparkSession)
     rows = _source(table).mapInArrow(_candidates(index), _SCHEMA)
-    rows = rows.unionByName(_source(queries).mapInArrow(_questions(index, k, probe_share), _SCHEMA))
+    rows = rows.unionByName(_source(queries).mapInArrow(_questions(index, k, probe_share or index.probe_share), _SCHEMA))
     found = rows.repartition(n, "tile").mapInArrow(_search(index, k, slack), "query_id long, vec_id long, score double")
+    found = found.unionByName(_source(queries).mapInArrow(_found_in_sample(index, k), "query_id long, vec_id long, score double"))
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
