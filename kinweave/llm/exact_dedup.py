@@ -173,16 +173,22 @@ def collisions(table: DataFrame, members: DataFrame, chunk: int = CHUNK_BYTES) -
     return parts.select("group", "chunk", "data").repartition(n, "group", "chunk").mapInArrow(_unequal, "group binary").distinct()
 
 
+def _best(found: DataFrame) -> DataFrame:
+    first = F.min(F.struct((-F.col("n_chars")).alias("less"), "doc_id")).alias("best")
+    return found.groupBy("group").agg(first, F.count("*").alias("group_size"))
+
+
 def dedup(table: DataFrame, modulus: int | None = None, huge_chars: int = HUGE_CHARS, chunk: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
     found = shards.checkpointed(fingerprints(table, modulus, huge_chars).withColumn("group", F.concat("fingerprint", F.col("n_bytes").cast("string").cast("binary"))))
-    sizes = found.groupBy("group").agg(F.count("*").alias("n"))
-    members = found.join(sizes.filter("n > 1"), "group", "left_semi").select("doc_id", "group")
+    # both sides of the joins on a group are plain scans, so that AQE can split a group of many copies
+    best = shards.checkpointed(_best(found))
+    members = found.join(best.filter("group_size > 1"), "group").select("doc_id", "group")
     odd = shards.checkpointed(collisions(table, members, chunk))
     if not odd.isEmpty():
         odd = odd.withColumn("odd", F.lit(True))
         found = found.join(odd, "group", "left").withColumn("group", F.when(F.col("odd"), F.concat("group", F.col("text_sha256").cast("binary"))).otherwise(F.col("group")))
-    best = found.groupBy("group").agg(F.min(F.struct((-F.col("n_chars")).alias("less"), "doc_id")).alias("best"), F.count("*").alias("group_size"))
+        best = shards.checkpointed(_best(found))
     out = found.join(best, "group").select(
         shards.real_id(),
         F.nullif(F.col("best.doc_id"), F.lit(shards.NO_ID)).alias("keep_id"),
