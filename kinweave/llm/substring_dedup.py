@@ -15,9 +15,10 @@ meet in shards by anchor:
 * a run that is alone with its anchor is not repeated.
 
 A reference shard is not broadcast, as repeated passages grow with the corpus, but sent to the task of
-its anchor. Equal runs are contracted in the buffer that reads them, and an anchor with more than
-``HOT`` different runs (a passage that very many documents share) is split by whole windows instead,
-contracted in the same way; so no group gathers in one task and nothing is capped. Runs and anchors
+its anchor. Equal runs are contracted in the buffer that reads them. An anchor with more than
+``HOT_HERE`` different runs in a buffer or ``HOT`` in all (a passage that very many documents share) is
+split by whole windows instead, contracted in the same way, and its shard hears of it by a single
+record from each buffer; so no group gathers in one task and nothing is capped. Runs and anchors
 are compared by hashes of 128 and 64 bits, the automata work on the words themselves.
 
 Null and empty texts have no words. Rows that repeat a doc_id are one document's text given twice,
@@ -39,11 +40,14 @@ from . import shards, words
 LENGTH = 35
 ANCHOR = 18
 HOT = 64
+HOT_HERE = 16
 RUN = np.dtype([("g", "<u8"), ("r", "<u8"), ("s", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i2"), ("many", "<i2")])
 SPAN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
 WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("many", "<i4")])
 ASK = np.dtype([("g", "<u8"), ("start", "<i4"), ("n", "<i2"), ("many", "<i1"), ("hot", "<i1")])
-_RUNS, _SPANS, _WINDOWS = 0, 1, 2
+ASKED = np.dtype([("doc", "<i8"), *ASK.descr])
+_RUNS, _SPANS, _WINDOWS, _ASKED = 0, 1, 2, 3
+_SIGN = -1
 
 
 def _smallest(x: np.ndarray, k: int) -> np.ndarray:
@@ -97,14 +101,30 @@ def _contract(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, span
 
 
+def _divert(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(runs for the shards, hot ones for the windows): an anchor with very many runs here sends its shard only a sign of that."""
+    first = shards.runs(runs["g"])
+    size = np.diff(np.append(first, len(runs)))
+    hot = np.repeat(size > HOT_HERE, size)
+    asked = np.zeros(int(hot.sum()), ASKED)
+    for name in ("doc", "g", "start", "n", "many"):
+        asked[name] = runs[name][hot]
+    asked["hot"] = 1
+    sign = np.zeros(int((size > HOT_HERE).sum()), RUN)
+    sign["g"], sign["many"] = runs["g"][first[size > HOT_HERE]], _SIGN
+    return np.concatenate([runs[~hot], sign]), asked
+
+
 def _send_runs(length: int, anchor: int):
     def send(batches, n):
         held = []
 
         def flush():
             runs, span = _contract(np.concatenate(held))
+            runs, asked = _divert(runs)
             yield from shards.pack(runs, shards.shard_of(runs["g"], n), _RUNS, n)
-            yield from shards.pack(span, shards.shard_of(words.mix(span["doc"].astype(np.uint64)), n), _SPANS, n)
+            for kind, rows in ((_SPANS, span), (_ASKED, asked)):
+                yield from shards.pack(rows, shards.shard_of(words.mix(rows["doc"].astype(np.uint64)), n), kind, n)
 
         for batch in batches:
             doc = batch.column(0).to_numpy()
@@ -142,6 +162,8 @@ def _verdict_rows(spans: np.ndarray, asks_doc: np.ndarray, asks: np.ndarray):
 def _judge(got):
     """Spans that are settled, and the runs that an automaton has to settle."""
     runs = shards.joined(got.get(_RUNS), RUN)
+    hot = np.unique(runs["g"][runs["many"] == _SIGN])
+    runs = runs[runs["many"] != _SIGN]
     runs = runs[np.lexsort((runs["s"], runs["r"], runs["g"]))]
     first = shards.runs(runs["g"], runs["r"], runs["s"])
     count = np.diff(np.append(first, len(runs)))
@@ -155,12 +177,17 @@ def _judge(got):
     group = shards.runs(one["g"])
     size = np.diff(np.append(group, len(one)))
     single = np.add.reduceat((one["many"] == 1).astype(np.int64), group) if len(group) else size
-    wanted = np.repeat((size > 1) & (single > 0), size)
-    ask = np.zeros(int(wanted.sum()), ASK)
-    for name in ("g", "start", "n", "many"):
+    signed = np.isin(one["g"][group], hot)
+    wanted = np.repeat((size > 1) & (single > 0) | signed, size)
+    ask = np.zeros(int(wanted.sum()), ASKED)
+    for name in ("doc", "g", "start", "n", "many"):
         ask[name] = one[name][wanted]
-    ask["hot"] = np.repeat(size > HOT, size)[wanted]
-    yield from _verdict_rows(np.concatenate([span, shards.joined(got.get(_SPANS), SPAN)]), one["doc"][wanted], ask)
+    ask["hot"] = np.repeat((size > HOT) | signed, size)[wanted]
+    ask = np.concatenate([ask, shards.joined(got.get(_ASKED), ASKED)])
+    own = np.zeros(len(ask), ASK)
+    for name in ASK.names:
+        own[name] = ask[name]
+    yield from _verdict_rows(np.concatenate([span, shards.joined(got.get(_SPANS), SPAN)]), ask["doc"], own)
 
 
 class SuffixAutomaton:

@@ -98,10 +98,11 @@ def plain_repeats(rows, k=35):
     return out
 
 
-@pytest.mark.parametrize(("length", "hot"), [(35, 64), (35, 0), (5, 2)])
-def test_repeats_match_brute_force(spark, monkeypatch, length, hot):
-    monkeypatch.setattr(substring_dedup, "HOT", hot)
+@pytest.mark.parametrize(("length", "many"), [(35, 0), (35, 150), (5, 40)])
+def test_repeats_match_brute_force(spark, length, many):
     rows = corpus()
+    shared = " ".join(f"p{i}" for i in range(60))  # one passage in very many documents: its anchors are hot
+    rows += [(5000 + i, f"before{i} x{i} y{i} {shared} after{i} z{i} u{i}") for i in range(many)]
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(frame(spark, rows), length).collect()}
     assert got == plain_repeats(rows, length)
 
