@@ -41,7 +41,7 @@ from . import shards, words
 PAIR = np.dtype([("key", "<u8"), ("doc", "<i8")])
 EDGE = np.dtype([("a", "<i8"), ("b", "<i8")])
 _TILES, _LINKS, _SIZES = 0, 1, 2
-GROUP_ROWS = 512
+GROUP_ROWS = 4096
 _BAND = 1.5
 _LEAST = 9  # smaller sets link only when equal
 
