@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MEMORY = 400_000
+MEMORY = 200_000
 _NORMAL, _USER, _BYTE = 1, 4, 6
 _PART = re.compile(r" *[^ \n]+| +|\n+")
 
