@@ -43,6 +43,12 @@ def draft(candidates: DataFrame, judged: DataFrame, queue: DataFrame, decided_ye
     return rows if decided_yes is None else rows.join(decided_yes.select("pair_key").distinct(), "pair_key", "left_anti")
 
 
+def edited(judged: DataFrame) -> DataFrame:
+    """Proposals from judgements that people have gone through: every yes is theirs."""
+    yes = judged.filter(F.col("llm_decision") == config.YES)
+    return yes.select("pair_key", *_ends(), F.lit(config.HUMAN_APPROVED).alias("source"), "score", F.lit("human_review").alias("reason"), F.col("llm_confidence").alias("confidence"))
+
+
 def admin_gate(proposals: DataFrame, gate: DataFrame) -> DataFrame:
     """Without what the admin rejected and with what the admin approved; gate: the last action of each pair."""
     rejected = gate.filter("action = 'REJECT'").select("pair_key").distinct()

@@ -44,6 +44,24 @@ def pairs_of(pairs: DataFrame, master: str) -> DataFrame:
     return pairs.filter((F.col("master_a_id") == master) | (F.col("master_b_id") == master))
 
 
+def last_adjustment(log: DataFrame, at: str = "created_at") -> DataFrame:
+    """One row: how many operations completed, and when the last one did."""
+    done = F.col("status") == "completed"
+    return log.agg(F.count_if(done).alias("completed"), F.max(F.when(done, F.col(at))).alias("last_at"))
+
+
+def change_summary(changes: DataFrame, most: int = 3) -> DataFrame:
+    """One line: the first changes by pair, and how many more there are."""
+    line = F.concat("pair_key", F.lit(": "), "old_decision", F.lit(" -> "), "new_decision")
+    first = changes.orderBy("pair_key").limit(most).select(line.alias("line"))
+    shown = first.agg(F.array_join(F.sort_array(F.collect_list("line")), "; ").alias("shown"))
+    count = changes.agg(F.count("*").alias("n"))
+    # two rows of one aggregate each
+    out = shown.join(F.broadcast(count), F.lit(True))
+    more = F.when(F.col("n") > most, F.concat(F.lit("; +"), (F.col("n") - most).cast("string"), F.lit(" more"))).otherwise("")
+    return out.select(F.concat("shown", more).alias("summary"), "n")
+
+
 def adjustment_texts(log: DataFrame) -> DataFrame:
     """operation_id and a sentence on each operation."""
     op, target, to = F.col("operation"), F.col("target_id"), F.coalesce("new_master", F.lit("?"))

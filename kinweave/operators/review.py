@@ -60,6 +60,27 @@ def human_decisions(rows: DataFrame, accepted: DataFrame, denied: DataFrame) ->
     return out.withColumns({"final_decision": final, "lineage": lineage}).drop("_yes", "_no")
 
 
+def apply_edits(judged: DataFrame, edits: DataFrame) -> DataFrame:
+    """Judgements with people's edits (pair_key, llm_decision, llm_confidence); an edit with an unknown decision or a
+    confidence outside [0, 1] is ignored, and of several edits of a pair the most confident counts."""
+    valid = edits.filter(F.col("llm_decision").isin(config.YES, config.NO, config.UNSURE) & F.col("llm_confidence").between(0, 1))
+    valid = io.latest(valid, ["pair_key"], F.col("llm_confidence"), F.col("llm_decision"))
+    new = valid.select("pair_key", F.col("llm_decision").alias("_decision"), F.col("llm_confidence").alias("_confidence"))
+    out = judged.join(new, "pair_key", "left")
+    return out.withColumns({"llm_decision": F.coalesce("_decision", "llm_decision"), "llm_confidence": F.coalesce("_confidence", "llm_confidence")}).drop("_decision", "_confidence")
+
+
+def rerun_preview(judged: DataFrame, ids: DataFrame, names: DataFrame) -> DataFrame:
+    """The judged pairs that touch any of the ids, with their current decision and both names (id, account_name)."""
+    mark = ids.select("id").distinct().withColumn("_hit", F.lit(True))
+    out = judged.select("pair_key", "focal_master_id", "candidate_master_id", "llm_decision")
+    for side in ("focal", "candidate"):
+        key = f"{side}_master_id"
+        out = out.join(mark.withColumnsRenamed({"id": key, "_hit": f"_{side}"}), key, "left")
+        out = out.join(names.select(F.col("id").alias(key), F.col("account_name").alias(f"{side}_name")), key, "left")
+    return out.filter(F.coalesce("_focal", "_candidate", F.lit(False))).drop("_focal", "_candidate")
+
+
 def split_resolved(rows: DataFrame) -> DataFrame:
     """Adds state: RESOLVED once a person has decided or the model is sure, else QUEUED."""
     sure = F.col("human_decision").isNotNull() | (F.col("llm_decision") != config.UNSURE)

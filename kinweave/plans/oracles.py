@@ -232,4 +232,18 @@ SQL = {
         UNION ALL SELECT 'judged', count(*) FROM judged""",
     "d37_full_cycle": f"""WITH RECURSIVE {_DRAFT}, {_reach("c", "final", "m1", "m2")}, m AS (SELECT coalesce(root, id) AS account_id FROM e LEFT JOIN c ON node = id)
         SELECT account_id, count(*) AS group_size, count(*) > 1 AS is_dupe FROM m GROUP BY 1""",
+    "v07_edit_decisions": f"""WITH {_J} SELECT pair_key, CASE WHEN CAST(focal_master_id AS BIGINT) % 4 = 0 THEN 'YES' ELSE llm_decision END AS llm_decision,
+        CASE WHEN CAST(focal_master_id AS BIGINT) % 4 = 0 THEN 0.99 ELSE llm_confidence END AS llm_confidence FROM judged""",
+    "d26_finalize_edited": f"""WITH RECURSIVE {_J}, yes AS (SELECT * FROM judged WHERE llm_decision = 'YES' OR CAST(focal_master_id AS BIGINT) % 4 = 0),
+        {_reach("c", "yes", "focal_master_id", "candidate_master_id")}, m AS (SELECT coalesce(root, id) AS account_id FROM e LEFT JOIN c ON node = id)
+        SELECT account_id, count(*) AS group_size, count(*) > 1 AS is_dupe FROM m GROUP BY 1""",
+    "v09_rerun_preview": f"""WITH {_J} SELECT pair_key, focal_master_id, candidate_master_id, llm_decision, 'label ' || f.label AS focal_name, 'label ' || c.label AS candidate_name
+        FROM judged j LEFT JOIN e f ON f.id = focal_master_id LEFT JOIN e c ON c.id = candidate_master_id WHERE CAST(focal_master_id AS BIGINT) < 50 OR CAST(candidate_master_id AS BIGINT) < 50""",
+    "a09_last_adjustment": "SELECT count(*) FILTER (WHERE event_id % 3 = 0) AS completed, strftime(max(ts) FILTER (WHERE event_id % 3 = 0), '%Y-%m-%d %H:%M:%S') AS last_at FROM events",
+    "o06_change_summary": f"""WITH {_J2}, x AS (SELECT pair_key, pair_key || ': ' || o.llm_decision || ' -> ' || n.llm_decision AS line FROM judged o JOIN again n USING (pair_key) WHERE o.llm_decision <> n.llm_decision),
+        f AS (SELECT line FROM x ORDER BY pair_key LIMIT 3)
+        SELECT (SELECT coalesce(string_agg(line, '; ' ORDER BY line), '') FROM f) || CASE WHEN count(*) > 3 THEN '; +' || (count(*) - 3) || ' more' ELSE '' END AS summary, count(*) AS n FROM x""",
+    "o01_ranked_pairs": f"WITH {_E} SELECT pair_key, master_a_id, master_b_id, round(score, 6) AS score FROM pairs ORDER BY pairs.score DESC, pair_key LIMIT 15",
+    "p10_null_split": f"WITH {_DIFF} SELECT human_decision IS NOT NULL AS human, count(*) AS n FROM lined GROUP BY 1",
+    "p11_blank_rows": "SELECT doc_id FROM documents WHERE trim(regexp_replace(text, '[a-z]', '', 'g')) <> '' AND trim(lang) <> ''",
 }

@@ -599,3 +599,61 @@ def d37_full_cycle(spark, d):
     matched = match.perfect_match(accounts)
     applied = proposals.postapply(matched, proposals.mapping_delta(_final(spark, d)))
     return proposals.gold(applied).select("account_id", "group_size", "is_dupe")
+
+
+# --- edits, previews, summaries ------------------------------------------------------------------
+
+
+def _edited(spark, d) -> DataFrame:
+    """Edits of every other focal; those of numbers 1 and 2 modulo 4 aren't valid."""
+    rest = F.col("focal_master_id").cast("long") % 4
+    decision = F.when(rest == 0, "YES").when(rest == 1, "MAYBE").when(rest == 2, "NO")
+    judged = _judged(spark, d)
+    edits = judged.select("pair_key", decision.alias("llm_decision"), F.when(rest == 2, 1.5).otherwise(0.99).alias("llm_confidence"))
+    return review.apply_edits(judged, edits.filter("llm_decision IS NOT NULL"))
+
+
+@_query
+def v07_edit_decisions(spark, d):
+    return _edited(spark, d).select("pair_key", "llm_decision", "llm_confidence")
+
+
+@_query
+def d26_finalize_edited(spark, d):
+    accounts = _vectors(spark, d).select(F.col("id").alias("account_id"), F.concat_ws(" ", F.lit("vec"), "id").alias("account_name"))
+    delta = proposals.mapping_delta(proposals.edited(_edited(spark, d)))
+    return proposals.gold(proposals.postapply(match.perfect_match(accounts), delta)).select("account_id", "group_size", "is_dupe")
+
+
+@_query
+def v09_rerun_preview(spark, d):
+    names = _vectors(spark, d).select("id", F.concat_ws(" ", F.lit("label"), "label").alias("account_name"))
+    return review.rerun_preview(_judged(spark, d), _seeds(spark, d), names)
+
+
+@_query
+def a09_last_adjustment(spark, d):
+    rows = _t(spark, d, "events").select("ts", F.when(F.col("event_id") % 3 == 0, "completed").otherwise("failed").alias("status"))
+    return report.last_adjustment(rows, "ts").withColumn("last_at", F.date_format("last_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@_query
+def o06_change_summary(spark, d):
+    return report.change_summary(review.decision_changes(_judged(spark, d), _judged(spark, d, 0.35, 0.31)))
+
+
+@_query
+def o01_ranked_pairs(spark, d):
+    """The best fifteen pairs by score and key."""
+    return _r6(_pairs(spark, d, CFG.t_low).orderBy(F.desc("score"), "pair_key").limit(15), "score")
+
+
+@_query
+def p10_null_split(spark, d):
+    return report.value_counts(_human(spark, d).withColumn("human", F.col("human_decision").isNotNull()), "human")
+
+
+@_query
+def p11_blank_rows(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", "lang", F.regexp_replace("text", "[a-z]", "").alias("rest"))
+    return rows.filter("trim(rest) <> '' AND trim(lang) <> ''").select("doc_id")
