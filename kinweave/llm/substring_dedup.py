@@ -122,7 +122,7 @@ def _send_runs(length: int, anchor: int):
         def flush():
             runs, span = _contract(np.concatenate(held))
             runs, asked = _divert(runs)
-            yield from shards.pack(runs, shards.shard_of(runs["g"], n), _RUNS, n)
+            yield from shards.pack(runs, shards.shard_of(words.mix(runs["g"]), n), _RUNS, n)  # anchors are smallest hashes, so not even themselves
             for kind, rows in ((_SPANS, span), (_ASKED, asked)):
                 yield from shards.pack(rows, shards.shard_of(words.mix(rows["doc"].astype(np.uint64)), n), kind, n)
 
