@@ -14,6 +14,7 @@ QUEUED, APPROVED, REJECTED = "QUEUED", "APPROVED", "REJECTED"
 AUTO_95, LLM_YES, HUMAN_APPROVED = "AUTO_95", "LLM_YES", "HUMAN_APPROVED"
 HUMAN_AFTER_NOTES, ADMIN_APPROVED, ADMIN_REJECT = "HUMAN_NOTES_AUTO_APPROVED", "ADMIN_APPROVED", "ADMIN_REJECT"
 AFTER_NOTES_TAG = "HUMAN_APPROVED_AFTER_NOTES"
+UPDATES_SOURCE = "HUMAN_POWERAPP"
 #: The later a source stands, the stronger it is when one pair has several.
 SOURCE_ORDER = (AUTO_95, LLM_YES, HUMAN_APPROVED, HUMAN_AFTER_NOTES, ADMIN_APPROVED)
 
@@ -43,7 +44,7 @@ class Config:
     needs_only_queue: bool = False
     suppress_no: bool = False
     finalize: bool = False
-    source: str = "HUMAN_POWERAPP"
+    source: str = UPDATES_SOURCE
 
     def with_(self, **changes) -> Config:
         return replace(self, **changes)
