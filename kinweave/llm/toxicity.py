@@ -1,8 +1,8 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
-Token scores are log-odds of the two label classes, counted in texts that hold the token, with an
-informative Dirichlet prior (pseudo-counts in proportion to the pooled frequencies), kept where their z-score is significant; any other token
-costs ``drift``. A linear-time scan finds all maximal segments of positive score. Under the clean
+Token scores are log-odds of the two label classes, counted in texts that hold the token, with one
+pseudo-text a token (split as the classes are), kept where the root of the log-likelihood ratio (a z-score
+for large counts) is significant; any other token costs ``drift``. A linear-time scan finds all maximal segments of positive score. Under the clean
 token distribution such scores follow an extreme-value law: lambda is the root of
 sum p_w exp(lambda s_w) = 1 and K is fitted to the clean documents, so a segment of score S in n
 tokens has the p-value 1 - exp(-K n exp(-lambda S)). A logistic curve over the document's evidence
@@ -31,7 +31,7 @@ from . import shards, words
 
 MAX_LABELLED = 20_000
 MAX_TOKENS = 65_536
-PRIOR = 5_000.0
+PRIOR = 1.0
 LEAST_Z = 4.0
 DRIFT = 0.1
 SIGNIFICANT = 1e-3
@@ -148,6 +148,14 @@ def _features(model: Model):
     return run
 
 
+def _evidence_of(bad: str, good: str, n1: float, n0: float):
+    """Signed root of the log-likelihood ratio that a token's share differs between the classes."""
+    b, g = F.col(bad).cast("double"), F.col(good).cast("double")
+    part = lambda x, share: F.when(x > 0, x * F.log(x / ((b + g) * F.lit(share)))).otherwise(0.0)
+    ratio = F.sqrt(2 * F.greatest(part(b, n1 / (n1 + n0)) + part(g, n0 / (n1 + n0)), F.lit(0.0)))
+    return F.when(b / n1 >= g / n0, ratio).otherwise(-ratio)
+
+
 def _lambda(model: Model, share: np.ndarray) -> float:
     """The positive root of sum p exp(x s) = 1 over the clean token distribution."""
     p = np.append(share, max(0.0, 1 - share.sum()))
@@ -190,10 +198,9 @@ def fit(table: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -
     counts = shards.checkpointed(counts)
     n1, n0 = counts.agg(F.sum("bad"), F.sum("good")).first()
     n1, n0 = float(n1 or 1), float(n0 or 1)
-    prior = (F.col("bad") + F.col("good")) * F.lit(PRIOR / (n1 + n0))
-    one, zero = F.col("bad") + prior, F.col("good") + prior
-    odds = F.log(one / (F.lit(n1 + PRIOR) - one)) - F.log(zero / (F.lit(n0 + PRIOR) - zero))
-    scored = counts.select("token", "good", odds.alias("odds"), (odds / F.sqrt(1 / one + 1 / zero)).alias("z"))
+    # by counts, as the evidence has to grow with them: 36 toxic texts and no clean one say much, however common the token is
+    odds = F.log((F.col("bad") + PRIOR * n1 / (n1 + n0)) / n1) - F.log((F.col("good") + PRIOR * n0 / (n1 + n0)) / n0)
+    scored = counts.select("token", "good", odds.alias("odds"), _evidence_of("bad", "good", n1, n0).alias("z"))
     top = scored.filter(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "token").limit(MAX_TOKENS).toPandas()
     top = top.assign(token=top["token"].to_numpy(np.int64).view(np.uint64)).sort_values("token")
     model.tokens, model.scores = top["token"].to_numpy(np.uint64), np.clip(top["odds"].to_numpy(float), -4, 8)

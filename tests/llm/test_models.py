@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kinweave.llm import ann, lm_mixing, pieces, pii, toxicity
@@ -317,6 +318,23 @@ def test_held_out_toxic_texts_are_found(spark):
     assert kept.count() == (out.predicted == 0).sum()
 
 
+@pytest.mark.parametrize(("texts", "size"), [(400, 30), (400, 400), (2400, 30), (2400, 200)])
+def test_words_of_toxic_texts_alone_are_kept(spark, texts, size):
+    rng = random.Random(texts + size)
+    calm, rude = [f"word{i}" for i in range(300)], ["nasty", "vile", "foul"]
+    rows, labels = [], []
+    for i in range(texts):
+        text = [rng.choice(calm) for _ in range(size)]
+        if i % 8 == 0:
+            text.insert(rng.randrange(size), rng.choice(rude))
+        rows.append((i, " ".join(text)))
+        labels.append((i, 1, int(i % 8 == 0)))
+    table, known = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(table, known)
+    hashes = next(iter(toxicity.words.hashed_words(pa.array([" ".join(rude)]), True)))[2]
+    assert (model.of(hashes) > 0).all()
+
+
 def test_toxicity_without_labels(spark):
     table = frame(spark, [(1, "a"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
