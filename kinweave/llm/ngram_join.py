@@ -357,6 +357,14 @@ def components(table: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
 
 
 def representatives(table: DataFrame) -> DataFrame:
-    """The rows of the table whose doc_id is the smallest of its component, with all columns."""
-    stay = components(table).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return table.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of each component, that of the smallest doc_id (null last), with all columns; rows without links stay.
+
+    Here every row is a node of its own, whatever its doc_id, so only the rows that are near copies
+    go; a row that is repeated as a whole stays once.
+    """
+    rows = shards.with_row_key(table)
+    _, found = links(rows.select(F.col("_row").alias("doc_id"), "text"))
+    parts = shards.checkpointed(connected_components(found).withColumnRenamed("node", "_row"))
+    ids = rows.select("_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(shards.NO_ID)).alias("id"))
+    best = parts.join(ids, "_row").groupBy("root").agg(F.min(F.struct("id", "_row")).alias("best"))
+    return shards.without(rows, parts.join(best.select("best._row"), "_row", "left_anti").select("_row"))

@@ -108,3 +108,18 @@ def documents(df: DataFrame, *more) -> DataFrame:
 
 def real_id(name: str = "doc_id"):
     return F.nullif(F.col(name), F.lit(NO_ID)).alias(name)
+
+
+def with_row_key(table: DataFrame) -> DataFrame:
+    """The table with ``_row``, a 64-bit hash of all that a row holds: rows that share it are the same row again.
+
+    A doc_id may be null or stand for several texts; this names the row whatever its doc_id.
+    """
+    names = [F.col(f"`{c}`") for c, kind in table.dtypes if "map<" not in kind and "variant" not in kind]
+    return table.withColumn("_row", F.xxhash64(*names, *[x.isNull() for x in names]))
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """One row of each ``_row`` that isn't among those of gone, without that column."""
+    # repeats are combined before the shuffle, and the join finds the rows dealt out as it needs them
+    return rows.dropDuplicates(["_row"]).join(gone, "_row", "left_anti").drop("_row")

@@ -53,3 +53,19 @@ def test_toxic_rows_leave_the_pipeline(spark):
     gone = {r.doc_id for r in toxicity.score(docs, toxicity.fit(docs, labels)).filter("predicted = 1").collect()}
     kept = {r.doc_id for r in corpus_pipeline.toxic(spark, docs, TESTDATA).collect()}
     assert not kept & gone and len(kept) + len(gone) == docs.count()
+
+
+def odd_ids():
+    """Texts without or under one repeated doc_id, of which some are near copies of others, with the texts that stay."""
+    long = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    near = lambda name: long(name) + " end"
+    rows = [(1, long("a")), (None, near("a"))]  # a near copy without an id
+    rows += [(None, long(f"n{k}")) for k in range(6)] + [(7, long(f"r{k}")) for k in range(4)]
+    rows += [(2, long("b")), (7, near("b"))]
+    return rows, {t for _, t in rows} - {near("a"), near("b")}
+
+
+def test_near_copies_alone_leave_when_ids_are_null_or_repeated(spark):
+    rows, stay = odd_ids()
+    got = [r.text for r in corpus_pipeline.near(spark, frame(spark, rows + rows[2:4] * 3), "").collect()]
+    assert sorted(got) == sorted(stay)
