@@ -21,10 +21,10 @@ split by whole windows instead, contracted in the same way, and its shard hears
 record from each buffer; so no group gathers in one task and nothing is capped. Runs and anchors
 are compared by hashes of 128 and 64 bits, the automata work on the words themselves.
 
-Null and empty texts have no words. Rows that repeat a doc_id are one document's text given twice,
-hence copies of one another; spans that are found for a doc_id hold for each of its rows only if the
-texts are the same, so give each text its own doc_id. Null doc_ids are one such doc_id. An empty table
-gives an empty result; other columns are ignored.
+Null and empty texts have no words. Runs, asks and spans are keyed by a 64-bit hash of doc_id and text,
+so different texts under a null or repeated doc_id have nothing to do with one another; rows that
+repeat both are copies of one another and get the same spans. An empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -115,6 +115,19 @@ def _divert(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([runs[~hot], sign]), asked
 
 
+def _once(asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one of each ask, spans of those that were there more than once: rows that repeat doc_id and text)."""
+    asked = np.sort(asked, order=["doc", "g", "start", "n", "many"])
+    first = shards.runs(asked["doc"], asked["g"], asked["start"], asked["n"])
+    count = np.diff(np.append(first, len(asked)))
+    out = asked[np.append(first[1:], len(asked)) - 1] if len(first) else asked  # the last has the largest many
+    span = np.zeros(int((count > 1).sum()), SPAN)
+    for name in ("doc", "start", "n"):
+        span[name] = out[name][count > 1]
+    out["many"][count > 1] = 2
+    return out, span
+
+
 def _send_runs(length: int, anchor: int):
     def send(batches, n):
         held = []
@@ -123,7 +136,7 @@ def _send_runs(length: int, anchor: int):
             runs, span = _contract(np.concatenate(held))
             runs, asked = _divert(runs)
             yield from shards.pack(runs, shards.shard_of(words.mix(runs["g"]), n), _RUNS, n)  # anchors are smallest hashes, so not even themselves
-            for kind, rows in ((_SPANS, span), (_ASKED, asked)):
+            for kind, rows in ((_SPANS, np.unique(span)), (_ASKED, asked)):
                 yield from shards.pack(rows, shards.shard_of(words.mix(rows["doc"].astype(np.uint64)), n), kind, n)
 
         for batch in batches:
@@ -183,11 +196,12 @@ def _judge(got):
     for name in ("doc", "g", "start", "n", "many"):
         ask[name] = one[name][wanted]
     ask["hot"] = np.repeat((size > HOT) | signed, size)[wanted]
-    ask = np.concatenate([ask, shards.joined(got.get(_ASKED), ASKED)])
+    asked, twice = _once(shards.joined(got.get(_ASKED), ASKED))
+    ask = np.concatenate([ask, asked])
     own = np.zeros(len(ask), ASK)
     for name in ASK.names:
         own[name] = ask[name]
-    yield from _verdict_rows(np.concatenate([span, shards.joined(got.get(_SPANS), SPAN)]), ask["doc"], own)
+    yield from _verdict_rows(np.unique(np.concatenate([span, twice, shards.joined(got.get(_SPANS), SPAN)])), ask["doc"], own)
 
 
 class SuffixAutomaton:
@@ -276,7 +290,7 @@ def _contexts(length: int):
     """The words of the runs that documents are asked for; of hot anchors, their windows."""
 
     def run(batches):
-        hot, held = [], 0
+        hot, held, last = [], 0, None
 
         def flush():
             every = np.concatenate(hot) if hot else np.zeros(0, WINDOW)
@@ -295,7 +309,10 @@ def _contexts(length: int):
 
         for batch in batches:
             route, doc_id, start, many, data = [], [], [], [], []
-            for doc, text, lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, text, lists in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
+                if doc == last:  # the same text again, whose asks tell of both
+                    continue
+                last = doc
                 ask = np.frombuffer(b"".join(lists), ASK)
                 tokens = (text or "").encode().split()
                 for x in ask[ask["hot"] == 0]:
@@ -362,11 +379,12 @@ _VERDICT = "doc_id long, spans binary, asks binary"
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, spans): packed (doc, first word, number of repeated windows), in one or more rows a document."""
+    """docs: doc_id that no two texts share, text. (doc_id, spans): packed (doc, first word, number of repeated windows), in one or more rows a document."""
     n = shards.shard_count(docs.sparkSession)
     met = shards.checkpointed(shards.exchange(docs, _send_runs(length, anchor), _judge, _VERDICT))
     asks = met.filter(F.col("asks").isNotNull()).groupBy("doc_id").agg(F.collect_list("asks").alias("asks"))
-    rows = docs.join(asks, "doc_id").select("doc_id", "text", "asks").mapInArrow(_contexts(length), "route long, kind int, doc_id long, start int, many int, data binary")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]  # unused, but so the shuffle of the texts serves the cutting too
+    rows = docs.join(asks, "doc_id").select("doc_id", "text", "asks", *rest).mapInArrow(_contexts(length), "route long, kind int, doc_id long, start int, many int, data binary")
     settled = rows.repartition(n, "route").mapInArrow(_automata(length), _VERDICT)
     return met.select("doc_id", "spans").unionByName(settled.select("doc_id", "spans")).filter(F.col("spans").isNotNull())
 
@@ -395,7 +413,8 @@ def _cut(length: int):
 def remove_repeats(table: DataFrame, length: int = LENGTH, anchor: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text of every row."""
     docs = shards.documents(table)
+    docs = docs.select(F.xxhash64("doc_id", "text", F.col("text").isNull()).alias("doc_id"), "text", F.col("doc_id").alias("id"))
     spans = repeated_spans(docs, length, anchor or max(1, length // 2 + 1)).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
-    out = docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    out = docs.join(spans, "doc_id", "left").select("id", "text", "spans")
     out = out.mapInArrow(_cut(length), "doc_id long, n_words long, n_removed long, kept_text string")
     return out.withColumn("doc_id", shards.real_id())

@@ -107,6 +107,18 @@ def test_repeats_match_brute_force(spark, length, many):
     assert got == plain_repeats(rows, length)
 
 
+@pytest.mark.parametrize("many", [0, 150])
+def test_repeats_of_different_texts_under_one_id(spark, many):
+    shared = " ".join(f"p{i}" for i in range(60))
+    own = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(None, own("a", 90) + " " + shared), (None, own("b", 200)), (None, own("c", 40)), (5, shared), (5, own("d", 120)), (5, own("e", 20))]
+    rows += [(None, own("k", 70)), (None, own("k", 70)), (None, own("s", 50) + " " + shared), (None, own("s", 50) + " " + shared)]
+    rows += [(None, f"before{i} {shared} after{i}") for i in range(many)]
+    want = plain_repeats(list(enumerate(t for _, t in rows)))
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted(((i, *want[k]) for k, (i, _) in enumerate(rows)), key=str)
+
+
 def test_suffix_automaton_counts():
     rng = np.random.default_rng(1)
     texts = [rng.integers(0, 3, rng.integers(4, 30)).tolist() for _ in range(12)]
