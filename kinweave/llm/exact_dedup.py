@@ -183,7 +183,7 @@ def dedup(table: DataFrame, modulus: int | None = None, huge_chars: int = HUGE_C
     found = shards.checkpointed(fingerprints(table, modulus, huge_chars).withColumn("group", F.concat("fingerprint", F.col("n_bytes").cast("string").cast("binary"))))
     # both sides of the joins on a group are plain scans, so that AQE can split a group of many copies
     best = shards.checkpointed(_best(found))
-    members = found.join(best.filter("group_size > 1"), "group").select("doc_id", "group")
+    members = found.select("doc_id", "group").distinct().join(best.filter("group_size > 1"), "group").select("doc_id", "group")
     odd = shards.checkpointed(collisions(table, members, chunk))
     if not odd.isEmpty():
         odd = odd.withColumn("odd", F.lit(True))
@@ -200,6 +200,13 @@ def dedup(table: DataFrame, modulus: int | None = None, huge_chars: int = HUGE_C
 
 
 def kept_documents(table: DataFrame) -> DataFrame:
-    """The rows of the table that stay, with all its columns; of rows that repeat a kept doc_id and text, all stay."""
-    stay = dedup(table).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return table.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of each group of equal texts, with all columns: that of the most code points, then the smallest doc_id (null last).
+
+    Rows are told apart by all that they hold, not by their doc_id; a row that is repeated as a whole stays once.
+    """
+    rows = shards.with_row_key(table)
+    found = dedup(rows.select(F.col("_row").alias("doc_id"), "text"))
+    groups = shards.checkpointed(found.filter("group_size > 1").select(F.col("doc_id").alias("_row"), "keep_id").distinct())
+    ids = rows.select("_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(shards.NO_ID)).alias("id"), (-F.coalesce(F.length(F.col("text").cast("string")), F.lit(0))).alias("less"))
+    best = groups.join(ids, "_row").groupBy("keep_id").agg(F.min(F.struct("less", "id", "_row")).alias("best"))
+    return shards.without(rows, groups.join(best.select("best._row"), "_row", "left_anti").select("_row"))

@@ -69,3 +69,12 @@ def test_near_copies_alone_leave_when_ids_are_null_or_repeated(spark):
     rows, stay = odd_ids()
     got = [r.text for r in corpus_pipeline.near(spark, frame(spark, rows + rows[2:4] * 3), "").collect()]
     assert sorted(got) == sorted(stay)
+
+
+def test_one_row_of_equal_texts_stays_when_ids_are_null_or_repeated(spark):
+    rows, _ = odd_ids()
+    copies = [(None, rows[0][1]), (3, rows[2][1]), (7, "  " + rows[8][1]), (7, rows[9][1]), (9, rows[9][1])]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.exact(spark, frame(spark, rows * 3 + copies), "").collect()]
+    # a copy with an id goes before one without, and one with more code points before both
+    want = set(rows) - {rows[2], rows[8]} | {copies[1], copies[2]}
+    assert sorted(got, key=str) == sorted(want, key=str)
