@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.llm import ann, lm_mixing, pieces, pii, toxicity
 from tests.llm.common import WORD, corpus, fold, frame
@@ -290,6 +291,97 @@ def test_segments_match_the_definition():
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in slow_segments(s)]
 
 
+def scores_of(model, words):
+    _, _, h, begun, *_ = next(iter(toxicity._tokens(pa.array([" ".join(words)]))))
+    return model.of(h, begun)
+
+
+def plain_tokens(text):
+    cut = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+    return [w.strip(cut) or w for w in WORD.findall(fold(text or ""))]
+
+
+def plain_scores(texts, least):
+    """The score of any word by the docstring; texts: (text, toxic), all different."""
+    bad, good = Counter(), Counter()
+    for text, toxic in texts:
+        (bad if toxic else good).update(set(plain_tokens(text)))
+    starts = lambda w: [w.encode()[:k] for k in range(8, 2, -1) if len(w.encode()) >= k]
+    stem = {}
+    for w in set(bad) | set(good):
+        for b in starts(w):
+            cell = stem.setdefault(b, [0.0, 0.0])
+            cell[0] += bad[w] / (bad[w] + good[w])
+            cell[1] += good[w] / (bad[w] + good[w])
+
+    def root(b, g, n1, n0):
+        part = lambda x, e: x * math.log(x / e) if x else 0.0
+        return math.sqrt(max(0.0, 2 * (part(b, (b + g) * n1 / (n1 + n0)) + part(g, (b + g) * n0 / (n1 + n0)))))
+
+    odds = lambda b, g, n1, n0, share: min(8, max(-4, math.log((b + share) / n1) - math.log((g + 1 - share) / n0)))
+    n1, n0 = sum(bad.values()), sum(good.values())
+    t1 = sum(bad[w] / (bad[w] + good[w]) for w in set(bad) | set(good))
+    t0 = len(set(bad) | set(good)) - t1
+    kept = {b: odds(*c, t1, t0, t1 / (t1 + t0)) for b, c in stem.items() if root(*c, t1, t0) >= least}
+
+    def score(w):
+        above = next((kept[b] for b in starts(w) if b in kept), None)
+        if bad[w] + good[w] and (above is not None or root(bad[w], good[w], n1, n0) >= least):
+            return odds(bad[w], good[w], n1, n0, 1 / (1 + math.exp(-(above or 0)) * n0 / n1))
+        return -toxicity.DRIFT if above is None else above
+
+    return score
+
+
+def test_scores_are_those_of_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEAST_Z", (3.0,))
+    rng = random.Random(4)
+    calm = ["Été,", "日本", "x", "--", "can't"] + [f"word{i}" for i in range(60)]
+    rows, labels = [], []
+    for i in range(1, 600):
+        text = [rng.choice(calm) for _ in range(rng.randint(5, 50))]
+        if i % 5 == 2:
+            text.insert(rng.randrange(len(text)), rng.choice(["Nasty!", "vile***", f"loweihr{rng.randrange(90)}", f"réeux{rng.randrange(90)}"]))
+        rows.append((i, " ".join(text)))
+        labels.append((i, 1, int(i % 5 == 2)))
+    table = frame(spark, rows)
+    model = toxicity.fit(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    train = {t: x for (i, t), (_, _, x) in zip(rows, labels, strict=True) if zlib.crc32(str(i).encode()) % 5}
+    score = plain_scores(list(train.items()), 3.0)
+    new = ["loweihrfremd", "réeuxnouveau", "nastyish", "strange", "wordless", "a"]
+    every = sorted({w for t in train for w in plain_tokens(t)}) + new
+    assert np.allclose(scores_of(model, every), [score(w) for w in every])
+    assert score("loweihrfremd") > 1 and score("réeuxnouveau") > 1 and score("strange") < 0
+    out = {r.doc_id: r.score for r in toxicity.score(table, model).collect()}
+    for i, text in rows[::7]:
+        s = [score(w) for w in plain_tokens(text)]
+        p = [1 - math.exp(-model.k * len(s) * math.exp(-model.lam * x)) for *_, x in slow_segments(s)]
+        best = max((x for *_, x in slow_segments(s)), default=0.0)
+        logs = [-math.log10(x) for x in p]
+        x = [min(max(logs, default=0.0), 40), math.sqrt(min(400, sum(x for x in logs if x >= 3))), best / math.sqrt(len(s) + 1)]
+        z = model.curve[0] + float(np.dot(x, model.curve[1:]))
+        assert math.isclose(out[i], 1 / (1 + math.exp(-z)), rel_tol=1e-6)
+
+
+def test_held_out_labels_of_the_tables_are_found(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    out = toxicity.score(docs, toxicity.fit(docs, labels)).filter("held_out").join(labels, "doc_id")
+    found = {r.toxic: (r.n, r.hit) for r in out.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("predicted").alias("hit")).collect()}
+    assert found[1][1] >= 0.8 * found[1][0]
+    assert found[0][1] <= 0.01 * found[0][0]
+
+
+def test_very_long_texts_are_scored_whole(spark):
+    rows = [(i, f"calm{i % 7} text {'vile' if i % 3 == 0 else 'kind'} end") for i in range(1, 200)]
+    table = frame(spark, rows)
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(table, labels)
+    long = [(1, "word " * 300_000 + "vile vile vile vile " * 5 + "word " * 1000), (2, "x" * 2_000_000), (None, "!" * 1_000_000)]
+    out = {r.doc_id: r for r in toxicity.score(frame(spark, long), model).collect()}
+    assert out[1].segments >= 1 and out[2].segments == out[None].segments == 0
+
+
 def test_held_out_toxic_texts_are_found(spark):
     rng = random.Random(9)
     calm = [f"word{i}" for i in range(300)]
@@ -331,8 +423,7 @@ def test_words_of_toxic_texts_alone_are_kept(spark, texts, size):
         labels.append((i, 1, int(i % 8 == 0)))
     table, known = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     model = toxicity.fit(table, known)
-    hashes = next(iter(toxicity.words.hashed_words(pa.array([" ".join(rude)]), True)))[2]
-    assert (model.of(hashes) > 0).all()
+    assert (scores_of(model, rude) > 0).all()
 
 
 def test_toxicity_without_labels(spark):
