@@ -15,6 +15,12 @@ AUTO_95, LLM_YES, HUMAN_APPROVED = "AUTO_95", "LLM_YES", "HUMAN_APPROVED"
 HUMAN_AFTER_NOTES, ADMIN_APPROVED, ADMIN_REJECT = "HUMAN_NOTES_AUTO_APPROVED", "ADMIN_APPROVED", "ADMIN_REJECT"
 AFTER_NOTES_TAG = "HUMAN_APPROVED_AFTER_NOTES"
 UPDATES_SOURCE = "HUMAN_POWERAPP"
+PERFECT = "PERFECT"
+POLICY, THRESHOLDS = "first_wins", "v1"
+PROMPT, PROMPT_WITH_CONTEXT, ADMIN_PROMPT = "v1", "v2_with_context", "admin_review"
+AUTO_REASON, ADMIN_YES_REASON, ADMIN_NO_REASON = "auto_threshold", "admin_approved", "admin_reject"
+FINALIZATION = "FINALIZATION"
+TRANSITIVE_REASON = "Transitively connected through focal rerun (via {})"
 #: The later a source stands, the stronger it is when one pair has several.
 SOURCE_ORDER = (AUTO_95, LLM_YES, HUMAN_APPROVED, HUMAN_AFTER_NOTES, ADMIN_APPROVED)
 
@@ -45,6 +51,20 @@ class Config:
     suppress_no: bool = False
     finalize: bool = False
     source: str = UPDATES_SOURCE
+    model: str = "offline"
+    keep_rejected: bool = True
+    scope: str = "all"
+    scope_focals: tuple[str, ...] = ()
+    scope_pairs: tuple[str, ...] = ()
+
+    def scope_ids(self) -> list[str]:
+        """The ids around which the first judging goes: given ones and both ends of given pairs."""
+        ends = [x for key in self.scope_pairs if "|" in key for x in key.split("|", 1)]
+        return sorted({*self.scope_focals, *ends})
+
+    def column_config(self) -> str:
+        """The chosen columns as JSON, stored beside what was made from them."""
+        return json.dumps({"similarity_columns": list(self.similarity_columns), "llm_context_columns": list(self.context_columns), "metadata_columns": list(self.metadata_columns)})
 
     def with_(self, **changes) -> Config:
         return replace(self, **changes)
@@ -79,6 +99,9 @@ class Config:
             return default if value is None else tuple(map(str, value))
 
         def listed(name):
+            given = parsed(name, list, None)
+            if given is not None:
+                return tuple(map(str, given))
             return tuple(x for x in (p.strip() for p in env.get(name, "").split(",")) if x)
 
         base = cls()
@@ -106,9 +129,19 @@ class Config:
             pair_notes=parsed("RERUN_NOTES_JSON", dict, {}),
             finalize=flag("FINALIZE", base.finalize),
             source=env.get("UPDATE_DECISION_SOURCE", base.source),
+            model=env.get("MODEL_NAME", base.model),
+            keep_rejected=flag("KEEP_REJECTED", base.keep_rejected),
+            scope=env.get("SCOPE", base.scope).strip().lower(),
+            scope_focals=listed("FOCALS"),
+            scope_pairs=listed("SEED_PAIRS"),
         )
 
 
+def as_text(value) -> str:
+    """A parameter as an environment variable would hold it: text as it is, anything else as JSON."""
+    return value if isinstance(value, str) else json.dumps(value)
+
+
 def parse_accounts(text: str) -> list[tuple[str, str]]:
     """``id|name, id|name``; anything else is an error."""
     out = []

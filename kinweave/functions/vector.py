@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,57 +33,109 @@ def all_pairs(vectors: DataFrame, tile_rows: int = 2048, least: float | None = N
     times, no side is broadcast, and a task holds two blocks. Vectors of unequal length are compared
     over the shorter one.
     """
-    n = vectors.count() if rows is None else rows
-    blocks = max(1, -(-n // tile_rows))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    source = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding"), own.alias("own"), every.alias("other"))
-    tile = F.concat_ws(":", F.least("own", "other"), F.greatest("own", "other"))
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks_here = sorted(pdf["own"].unique())
-        sides = [pdf[pdf["own"] == b].drop_duplicates("id") for b in blocks_here]
-        one, two = sides[0], sides[-1]
-        a, b = (_matrix(s["embedding"]) for s in (one, two))
-        score = _unit(a, b)
+    def compare(one: pd.DataFrame, two: pd.DataFrame, same: bool) -> pd.DataFrame:
+        score = _scores(one["embedding"], two["embedding"])
         x, y = one["id"].to_numpy(), two["id"].to_numpy()
         i, j = np.nonzero(np.ones_like(score, bool) if least is None else score >= least)
         left, right, score = x[i], y[j], score[i, j]
-        keep = left < right if len(sides) == 1 else left != right
+        keep = left < right if same else left != right
         left, right, score = left[keep], right[keep], score[keep]
         swap = left > right
         return pd.DataFrame({"a_id": np.where(swap, right, left), "b_id": np.where(swap, left, right), "score": score})
 
-    # a tile of two blocks needs both of them; where a block meets itself it stands once
-    return source.withColumn("tile", tile).repartition("tile").groupBy("tile").applyInPandas(_only_pairs(compare), "a_id string, b_id string, score double")
+    return _tiled(vectors, tile_rows, rows, compare, _PAIRS)
 
 
-def _only_pairs(compare):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        crossed = bool((pdf["own"] != pdf["other"]).any())
-        if crossed and pdf["own"].nunique() < 2:
+def band_counts(vectors: DataFrame, edges: Sequence[float], tile_rows: int = 2048, rows: int | None = None) -> DataFrame:
+    """(band, n): how many pairs score at least 0, 1, .. of the ascending edges; a tile sends a row a band, no pairs."""
+
+    def compare(one: pd.DataFrame, two: pd.DataFrame, same: bool) -> pd.DataFrame:
+        score = _scores(one["embedding"], two["embedding"])
+        x, y = one["id"].to_numpy()[:, None], two["id"].to_numpy()[None, :]
+        band = np.searchsorted(np.array(edges, float), score[(x < y) if same else (x != y)], side="right")
+        n = np.bincount(band, minlength=len(edges) + 1)
+        return pd.DataFrame({"band": np.arange(len(n)), "n": n})
+
+    return _tiled(vectors, tile_rows, rows, compare, "band int, n long").groupBy("band").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
+def cross_pairs(some: DataFrame, every: DataFrame, tile_rows: int = 2048, least: float | None = None, counts: tuple[int, int] | None = None) -> DataFrame:
+    """(a_id, b_id, score), a_id < b_id, of all pairs of which one id at least is in ``some``; every holds those of some too.
+
+    Only the product of some with every is computed, in tiles of a block of either.
+    """
+    n, m = counts or (some.count(), every.count())
+    down, across = max(1, -(-n // tile_rows)), max(1, -(-m // tile_rows))
+
+    def side(df: DataFrame, mark: bool, own: int, other: int) -> DataFrame:
+        block = F.pmod(F.xxhash64("id"), F.lit(own)).cast("long")
+        against = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long")))
+        return df.select("id", F.col("embedding").cast("array<double>").alias("embedding"), F.lit(mark).alias("asks"), block.alias("own"), against.alias("against"))
+
+    asked = every.join(some.select("id", F.lit(True).alias("_in")).distinct(), "id", "left")
+    right = side(asked.select("id", "embedding"), False, across, down).join(asked.select("id", F.coalesce("_in", F.lit(False)).alias("chosen")).distinct(), "id")
+    left = side(some, True, down, across).withColumn("chosen", F.lit(True))
+    tile = F.when(F.col("asks"), F.concat_ws(":", "own", "against")).otherwise(F.concat_ws(":", "against", "own"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        one, two = (pdf[pdf["asks"] == x].drop_duplicates("id") for x in (True, False))
+        if not len(one) or not len(two):
             return pd.DataFrame({"a_id": [], "b_id": [], "score": []}).astype({"a_id": str, "b_id": str, "score": float})
-        return compare(pdf)
+        score = _scores(one["embedding"], two["embedding"])
+        x, y = one["id"].to_numpy(), two["id"].to_numpy()
+        # a pair of two chosen ids is met from both sides and taken from the smaller one
+        keep = (x[:, None] != y[None, :]) & (~two["chosen"].to_numpy()[None, :] | (x[:, None] < y[None, :]))
+        i, j = np.nonzero(keep if least is None else keep & (score >= least))
+        left, right, score = x[i], y[j], score[i, j]
+        swap = left > right
+        return pd.DataFrame({"a_id": np.where(swap, right, left), "b_id": np.where(swap, left, right), "score": score})
 
-    return run
+    return left.unionByName(right).withColumn("tile", tile).groupBy("tile").applyInPandas(compare, _PAIRS)
 
 
-def _matrix(column) -> list[np.ndarray]:
-    return [np.zeros(0) if v is None else np.asarray(v, float) for v in column]
+_PAIRS = "a_id string, b_id string, score double"
 
 
-def _unit(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    sizes = {len(v) for v in a} | {len(v) for v in b}
-    if len(sizes) == 1 and sizes != {0}:
-        x, y = np.stack(a), np.stack(b)
-        nx, ny = (np.sqrt((m * m).sum(1)) for m in (x, y))
-        nx[nx == 0], ny[ny == 0] = 1, 1
-        return (x / nx[:, None]) @ (y / ny[:, None]).T
-    out = np.zeros((len(a), len(b)))
-    for i, u in enumerate(a):
-        for j, v in enumerate(b):
-            n = min(len(u), len(v))
+def _tiled(vectors: DataFrame, tile_rows: int, rows: int | None, compare: Callable, schema: str) -> DataFrame:
+    """compare(one block, another or the same, whether it is the same) for every pair of blocks."""
+    n = vectors.count() if rows is None else rows
+    blocks = max(1, -(-n // tile_rows))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    source = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding"), own.alias("own"), every.alias("other"))
+    tile = F.concat_ws(":", F.least("own", "other"), F.greatest("own", "other"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [pdf[pdf["own"] == b].drop_duplicates("id") for b in sorted(pdf["own"].unique())]
+        # a tile of two blocks needs both of them; where a block meets itself it stands once
+        if len(sides) == 1 and bool((pdf["own"] != pdf["other"]).any()):
+            sides.append(sides[0].iloc[:0])
+        return compare(sides[0], sides[-1], len(sides) == 1)
+
+    return source.withColumn("tile", tile).groupBy("tile").applyInPandas(run, schema)
+
+
+def _scores(a: Iterable, b: Iterable) -> np.ndarray:
+    """Cosines of all pairs over the shorter length: one matrix product for each pair of lengths."""
+    a, b = (_by_length(x) for x in (a, b))
+    out = np.zeros((sum(len(at) for at, _ in a.values()), sum(len(at) for at, _ in b.values())))
+    for p, (i, x) in a.items():
+        for q, (j, y) in b.items():
+            n = min(p, q)
             if n:
-                p, q = np.sqrt(u[:n] @ u[:n]) or 1.0, np.sqrt(v[:n] @ v[:n]) or 1.0
-                out[i, j] = u[:n] @ v[:n] / (p * q)
+                out[np.ix_(i, j)] = _unit(x[:, :n]) @ _unit(y[:, :n]).T
     return out
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((x * x).sum(1))
+    norm[norm == 0] = 1
+    return x / norm[:, None]
+
+
+def _by_length(column: Iterable) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """length -> (places, matrix); a null vector has length 0."""
+    column = list(column)
+    size = np.array([0 if v is None else len(v) for v in column], np.int64)
+    return {int(n): (at := np.flatnonzero(size == n), np.array([column[i] for i in at], float).reshape(len(at), n) if n else np.zeros((len(at), 0))) for n in np.unique(size)}

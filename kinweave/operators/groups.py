@@ -35,6 +35,19 @@ def log(matched: DataFrame, operations: DataFrame) -> DataFrame:
     return out.withColumns({"status": F.when(F.col("error").isNull(), "completed").otherwise("failed"), "members_affected": affected.cast("int")}).drop("_size")
 
 
+def completed(operations: DataFrame, reviewer: str | None = None) -> DataFrame:
+    """Operations with what they leave out: an id from the time and the place in the list, the reviewer, the time."""
+    now = F.current_timestamp()
+    wanted = {"operation_id": F.concat(F.lit("op_"), F.unix_timestamp(now).cast("string"), F.lit("_"), F.col("sequence").cast("string")), "reviewer": F.lit(reviewer), "created_at": now}
+    have = set(operations.columns)
+    return operations.withColumns({c: F.coalesce(F.col(c), x) if c in have else x for c, x in wanted.items()})
+
+
+def mapping_rows(overrides_: DataFrame) -> DataFrame:
+    """Overrides as rows of the cumulative mapping: an account that leaves its group maps to itself."""
+    return overrides_.select(F.col("account_id").alias("old_master_id"), F.col("master_account_id").alias("canonical_master_id"))
+
+
 def allowed(matched: DataFrame, operations: DataFrame) -> DataFrame:
     """The operations that make sense on the groups as they are, those of the widgets: a member isn't its own master, the target is another master."""
     own = matched.select(F.col("account_id").alias("target_id"), "is_master", "group_size")

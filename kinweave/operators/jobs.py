@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -15,6 +17,7 @@ from kinweave import config
 from kinweave.config import Config
 from kinweave.functions import text
 from kinweave.operators import graph
+from kinweave.sources import io
 
 
 class Embedder(Protocol):
@@ -22,9 +25,36 @@ class Embedder(Protocol):
 
 
 class Judge(Protocol):
-    """(focal, its candidates) -> for each judged candidate: id, score, decision, confidence, reason (None where not given)."""
+    """(focal, its candidates) -> for each judged candidate: id, score, decision, confidence, reason (None where not given).
 
-    def __call__(self, focal: str, candidates: list[dict], context: str | None) -> list[dict]: ...
+    It may return (judgements, {"request_id": .., "token_usage": ..}) instead.
+    """
+
+    def __call__(self, focal: str, candidates: list[dict], context: str | None) -> list[dict] | tuple[list[dict], dict]: ...
+
+
+def settings(env: Mapping[str, str], *names: str) -> dict[str, str]:
+    """The named settings of a service; a missing or empty one is an error that names all that are missing."""
+    missing = [n for n in names if not env.get(n)]
+    if missing:
+        raise ValueError(f"missing settings: {', '.join(missing)}")
+    return {n: env[n] for n in names}
+
+
+class Lazy:
+    """A client that is built on its first call, once in each Python worker, and not where the plan is made."""
+
+    def __init__(self, build: Callable[[], Callable]):
+        self.build = build
+        self._client = None
+
+    def __call__(self, *args):
+        if self._client is None:
+            self._client = self.build()
+        return self._client(*args)
+
+    def __reduce__(self):
+        return Lazy, (self.build,)
 
 
 def hashed_embedder(dims: int = 64) -> Embedder:
@@ -37,8 +67,17 @@ def hashed_embedder(dims: int = 64) -> Embedder:
     return embed
 
 
-def embed(texts: DataFrame, embedder: Embedder, batch: int = 64) -> DataFrame:
+@dataclass
+class Stored:
+    """Embeddings that are there already: a table of (id, embedding) in place of a service."""
+
+    vectors: DataFrame
+
+
+def embed(texts: DataFrame, embedder: Embedder | Stored, batch: int = 64) -> DataFrame:
     """(id, similarity_text) -> id, similarity_text, embedding; ``batch`` texts a request, on the executors."""
+    if isinstance(embedder, Stored):
+        return texts.select("id", "similarity_text").join(embedder.vectors.select("id", "embedding"), "id", "left")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -69,7 +108,14 @@ def build(top: DataFrame, context: DataFrame) -> DataFrame:
     return groups.agg(F.sort_array(F.collect_list(one)).alias("candidates"))
 
 
-_FLAT = "focal_master_id string, candidate_master_id string, score double, llm_decision string, llm_confidence double, llm_reason string"
+def prompts(work: DataFrame) -> DataFrame:
+    """What a judge is asked, as JSON: the focal's context and its candidates, nulls left out."""
+    names = [c for c in work.columns if c.startswith("focal_") and c != "focal_master_id"]
+    focal = F.struct(F.col("focal_master_id").alias("id"), *[F.col(c).alias(c.removeprefix("focal_")) for c in names])
+    return work.withColumn("prompt_json", F.to_json(F.struct(focal.alias("focal"), "candidates")))
+
+
+_FLAT = "focal_master_id string, candidate_master_id string, score double, llm_decision string, llm_confidence double, llm_reason string, request_id string, token_usage_json string"
 
 
 def judge(jobs: DataFrame, judge_: Judge, context: Column | None = None) -> DataFrame:
@@ -77,17 +123,19 @@ def judge(jobs: DataFrame, judge_: Judge, context: Column | None = None) -> Data
     rows = jobs.select("focal_master_id", F.to_json("candidates").alias("candidates"), (F.lit(None) if context is None else context).cast("string").alias("context"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
         for pdf in frames:
             out = []
             for focal, candidates, note in pdf.itertuples(index=False):
                 own = json.loads(candidates)
                 known = {c["candidate_master_id"]: c["score"] for c in own}
-                for d in judge_(focal, own, note):
+                said = judge_(focal, own, note)
+                said, meta = said if isinstance(said, tuple) else (said, {})
+                usage = meta.get("token_usage")
+                about = (meta.get("request_id"), None if usage is None else json.dumps(usage))
+                for d in said:
                     name = d.get("candidate_master_id")
                     if name:
-                        out.append((focal, name, d.get("score", known.get(name)), d.get("decision"), d.get("confidence"), d.get("reason")))
+                        out.append((focal, name, d.get("score", known.get(name)), d.get("decision"), d.get("confidence"), d.get("reason"), *about))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _FLAT.split(", ")])
 
     return with_defaults(rows.mapInPandas(run, _FLAT))
@@ -124,6 +172,30 @@ def band_judge(yes: float, no: float) -> Callable[[DataFrame], DataFrame]:
     return run
 
 
+def decide(top: DataFrame, work: DataFrame, judge_: Judge | Callable[[DataFrame], DataFrame], context: Column | None = None) -> DataFrame:
+    """Judgements by an object with a ``judge`` call over the work, or by an expression over the top candidates' rows."""
+    return judge(work, judge_.judge, context) if hasattr(judge_, "judge") else judge_(top)
+
+
+_ANSWER = ("candidate_master_id", "score", "llm_decision", "llm_confidence", "llm_reason", "prompt_version")
+
+
+def results(judged: DataFrame, prompt_version: str = config.PROMPT, model: str | None = None) -> DataFrame:
+    """Judgements as they are stored: a row for each request, with its answers in an array by candidate."""
+    about = {"request_id": "string", "token_usage_json": "string", "context_used": "string", "context_hash": "string"}
+    rows = io.ensure_columns(judged, about).withColumn("prompt_version", F.lit(prompt_version))
+    out = rows.groupBy("focal_master_id", "prompt_version", *about).agg(F.sort_array(F.collect_list(F.struct(*_ANSWER))).alias("results"))
+    return out.withColumns({"model_name": F.lit(model).cast("string"), "decided_at": F.current_timestamp()})
+
+
+def exploded(stored: DataFrame) -> DataFrame:
+    """A row for each stored answer; requests without answers and answers without a candidate are left out."""
+    rest = [c for c in stored.columns if c not in ("results", "prompt_version")]
+    rows = stored.select(*rest, F.explode_outer("results").alias("_r")).filter("_r.candidate_master_id IS NOT NULL")
+    rows = rows.select(*rest, *[F.col("_r")[c].alias(c) for c in _ANSWER])
+    return rows.withColumn("pair_key", text.pair_key(F.col("focal_master_id"), F.col("candidate_master_id")))
+
+
 # --- scopes and reruns ---------------------------------------------------------------------------
 
 
@@ -167,3 +239,29 @@ def rerun_rows(judged: DataFrame, cfg: Config) -> DataFrame:
     if cfg.rerun_pairs:
         out = out.filter(F.col("pair_key").isin(*cfg.rerun_pairs))
     return out
+
+
+def rejudge(stored: DataFrame, context: DataFrame, cfg: Config, judge_: Judge | Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """New judgements of the pairs of all stored results that the rerun covers, with the notes that apply to them.
+
+    Of a pair that was judged several times the last answer is taken. context: id and its columns; pairs
+    of which either master isn't there any more are left out. A focal's pairs are one request, whose context
+    holds the different notes of its pairs, a line each.
+    """
+    spark = stored.sparkSession
+    rows = io.latest(exploded(stored), ["focal_master_id", "candidate_master_id"], F.col("decided_at"), F.col("run_id"))
+    rows = rerun_rows(rows.select("pair_key", "focal_master_id", "candidate_master_id", "score", "llm_decision"), cfg)
+    names = [c for c in context.columns if c != "id"]
+    for side in ("focal", "candidate"):
+        rows = rows.join(context.select(F.col("id").alias(f"{side}_master_id"), *[F.col(c).alias(f"{side}_{c}") for c in names]), f"{side}_master_id")
+    given = lambda m, key: spark.createDataFrame(sorted(m.items()), f"{key} string, note string") if m else None
+    rows = notes_for(rows, given(cfg.pair_notes, "pair_key"), given(cfg.focal_notes, "focal_master_id"), cfg.global_notes)
+    asked = rows.withColumnsRenamed({"focal_master_id": "master_a_id", "candidate_master_id": "master_b_id"})
+    if hasattr(judge_, "judge"):
+        one = F.struct("candidate_master_id", "score", *[f"candidate_{c}" for c in names])
+        used = F.array_join(F.array_sort(F.collect_set("context_used")), "\n")
+        work = rows.groupBy("focal_master_id", *[f"focal_{c}" for c in names]).agg(F.sort_array(F.collect_list(one)).alias("candidates"), used.alias("_context"))
+        judged = judge(work, judge_.judge, F.col("_context"))
+    else:
+        judged = judge_(asked)
+    return judged.drop("context_used", "context_hash").join(rows.select("pair_key", "focal_master_id", "context_used", "context_hash"), ["pair_key", "focal_master_id"], "left")

@@ -10,6 +10,12 @@ from kinweave.operators import graph, match
 from kinweave.sources import io
 
 _COLUMNS = ("pair_key", "m1", "m2", "source", "score", "reason", "confidence")
+#: Where a proposal comes from; null where the rows that it is made from don't say.
+_ORIGIN = {"prompt_version": "string", "model_name": "string", "decided_at": "timestamp", "reviewer": "string", "notes": "string"}
+
+
+def _origin(rows: DataFrame, **given: Column) -> list[Column]:
+    return [(given[c] if c in given else F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in _ORIGIN.items()]
 
 
 def _ends(key: str = "pair_key") -> tuple[Column, Column]:
@@ -31,14 +37,17 @@ def strongest(rows: DataFrame) -> DataFrame:
 
 def draft(candidates: DataFrame, judged: DataFrame, queue: DataFrame, decided_yes: DataFrame | None = None) -> DataFrame:
     """Automatic pairs, the model's yes and people's approvals, without pairs decided yes before."""
-    auto = candidates.filter(F.col("route") == config.AUTO)
     none = F.lit(None).cast("double")
-    auto = auto.select("pair_key", *_ends(), F.lit(config.AUTO_95).alias("source"), "score", F.lit("auto_threshold").alias("reason"), none.alias("confidence"))
+    auto = candidates.filter(F.col("route") == config.AUTO)
+    why = F.lit(config.AUTO_REASON)
+    nobody = {"model_name": F.lit(None), "reviewer": F.lit(None), "notes": F.lit(None)}
+    auto = auto.select("pair_key", *_ends(), F.lit(config.AUTO_95).alias("source"), "score", why.alias("reason"), none.alias("confidence"), *_origin(auto, prompt_version=why, **nobody))
     model = judged.filter(F.col("llm_decision") == config.YES)
-    model = model.select("pair_key", *_ends(), F.lit(config.LLM_YES).alias("source"), "score", F.col("llm_reason").alias("reason"), F.col("llm_confidence").alias("confidence"))
+    model = model.select("pair_key", *_ends(), F.lit(config.LLM_YES).alias("source"), "score", F.col("llm_reason").alias("reason"), F.col("llm_confidence").alias("confidence"), *_origin(model, reviewer=F.lit(None), notes=F.lit(None)))
     tag = F.when(F.coalesce("decision", F.lit("")) == config.AFTER_NOTES_TAG, config.HUMAN_AFTER_NOTES).otherwise(config.HUMAN_APPROVED)
     human = queue.filter(F.col("status") == config.APPROVED)
-    human = human.select("pair_key", *_ends(), tag.alias("source"), "score", F.lit("human_review").alias("reason"), F.col("llm_confidence").alias("confidence"))
+    when = {"decided_at": F.col("updated_at")} if "updated_at" in queue.columns else {}
+    human = human.select("pair_key", *_ends(), tag.alias("source"), "score", F.col("llm_reason").alias("reason"), F.col("llm_confidence").alias("confidence"), *_origin(human, **when))
     rows = auto.unionByName(model).unionByName(human)
     return rows if decided_yes is None else rows.join(decided_yes.select("pair_key").distinct(), "pair_key", "left_anti")
 
@@ -46,25 +55,43 @@ def draft(candidates: DataFrame, judged: DataFrame, queue: DataFrame, decided_ye
 def edited(judged: DataFrame) -> DataFrame:
     """Proposals from judgements that people have gone through: every yes is theirs."""
     yes = judged.filter(F.col("llm_decision") == config.YES)
-    return yes.select("pair_key", *_ends(), F.lit(config.HUMAN_APPROVED).alias("source"), "score", F.lit("human_review").alias("reason"), F.col("llm_confidence").alias("confidence"))
+    return yes.select("pair_key", *_ends(), F.lit(config.HUMAN_APPROVED).alias("source"), "score", F.col("llm_reason").alias("reason"), F.col("llm_confidence").alias("confidence"))
+
+
+def _when(gate: DataFrame) -> dict[str, Column]:
+    return {"decided_at": F.col("updated_at")} if "updated_at" in gate.columns else {}
 
 
 def admin_gate(proposals: DataFrame, gate: DataFrame) -> DataFrame:
     """Without what the admin rejected and with what the admin approved; gate: the last action of each pair."""
+    none = F.lit(None).cast("double")
     rejected = gate.filter("action = 'REJECT'").select("pair_key").distinct()
-    approved = gate.filter("action = 'APPROVE'").select(
-        "pair_key", *_ends(), F.lit(config.ADMIN_APPROVED).alias("source"), F.lit(None).cast("double").alias("score"), F.lit("admin_review").alias("reason"), F.lit(None).cast("double").alias("confidence")
-    )
-    return strongest(proposals.select(*_COLUMNS).join(rejected, "pair_key", "left_anti").unionByName(approved))
+    approved = gate.filter("action = 'APPROVE'")
+    approved = approved.select(
+        "pair_key", *_ends(), F.lit(config.ADMIN_APPROVED).alias("source"), none.alias("score"), F.lit(config.ADMIN_YES_REASON).alias("reason"), none.alias("confidence"),
+        *_origin(approved, prompt_version=F.lit(config.ADMIN_PROMPT), model_name=F.lit(None), **_when(approved)),
+    )
+    rows = proposals.select(*_COLUMNS, *_origin(proposals))
+    return strongest(rows.join(rejected, "pair_key", "left_anti").unionByName(approved))
 
 
 def decision_rows(proposals: DataFrame, gate: DataFrame) -> DataFrame:
     """Ledger rows of a finalised run: YES for proposals, NO for admin rejections."""
-    yes = proposals.select("pair_key", "source", "score", "reason", F.lit(config.YES).alias("decision"))
-    no = gate.filter("action = 'REJECT'").select("pair_key", F.lit(config.ADMIN_REJECT).alias("source"), F.lit(None).cast("double").alias("score"), F.lit("admin_review").alias("reason"), F.lit(config.NO).alias("decision"))
+    yes = proposals.select("pair_key", "source", "score", "reason", F.lit(config.YES).alias("decision"), "confidence", *_origin(proposals))
+    no = gate.filter("action = 'REJECT'")
+    none = F.lit(None).cast("double")
+    no = no.select(
+        "pair_key", F.lit(config.ADMIN_REJECT).alias("source"), none.alias("score"), F.lit(config.ADMIN_NO_REASON).alias("reason"), F.lit(config.NO).alias("decision"), none.alias("confidence"),
+        *_origin(no, prompt_version=F.lit(config.ADMIN_PROMPT), model_name=F.lit(None), **_when(no)),
+    )
     return yes.unionByName(no)
 
 
+def preview(proposals: DataFrame, cfg: config.Config) -> DataFrame:
+    """Proposals as they are shown before a run is finalised, with the columns that led to them and the time."""
+    return proposals.withColumns({"run_id": F.lit(cfg.run_id), "preview_at": F.current_timestamp(), "column_config": F.lit(cfg.column_config())})
+
+
 def mapping_delta(proposals: DataFrame) -> DataFrame:
     """old_master_id, canonical_master_id: each master that isn't the smallest of its component, and that."""
     parts = graph.connected_components(proposals, "m1", "m2")

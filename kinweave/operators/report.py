@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave import config
-from kinweave.operators import groups
+from kinweave.operators import graph, groups
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -90,3 +90,33 @@ def status(frames: dict[str, DataFrame]) -> DataFrame:
         own = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
         out = own if out is None else out.unionByName(own)
     return out
+
+
+def change_preview(changes: DataFrame, affected: DataFrame, matched: DataFrame) -> DataFrame:
+    """One row: changed pairs, accounts that they affect, all masters, and the share of masters left as they are in percent."""
+    one = changes.agg(F.count("*").alias("changed_pairs"))
+    two = affected.agg(F.count_distinct("id").alias("affected"))
+    three = matched.agg(F.count_if("is_master").alias("masters"))
+    # three rows of one aggregate each
+    out = one.join(F.broadcast(two), F.lit(True)).join(F.broadcast(three), F.lit(True))
+    return out.withColumn("efficiency", F.round((1 - F.col("affected") / F.greatest("masters", F.lit(1))) * 100, 6))
+
+
+def applied_merges(mapping: DataFrame, names: DataFrame) -> DataFrame:
+    """Each merge with both names (id, account_name); a name that isn't there is null."""
+    out = mapping.select("old_master_id", "canonical_master_id")
+    for side in ("old", "canonical"):
+        out = out.join(names.select(F.col("id").alias(f"{side}_master_id"), F.col("account_name").alias(f"{side}_name")), f"{side}_master_id", "left")
+    return out
+
+
+def placed(df: DataFrame, *order: Column) -> DataFrame:
+    """The rows with their place in the whole order, from 1: sorted by ranges, and each range starts where the counts of those before it end."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # kept, as ranges are drawn from a sample and both passes need the same
+    rows = graph.checkpointed(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # one row a range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = rows.withColumn("_part", part).join(F.broadcast(sizes.withColumn("_before", before)), "_part")
+    return out.withColumn("place", (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).cast("long")).drop("_part", "_at", "_n", "_before")

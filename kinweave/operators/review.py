@@ -27,23 +27,72 @@ def queue(judged: DataFrame, cfg: Config) -> DataFrame:
 
 
 def rerun_updates(rerun: DataFrame, queue_: DataFrame, cfg: Config) -> DataFrame:
-    """A queue row for each rejudged pair; a confident yes is approved if the configuration says so."""
-    carried = queue_.select("pair_key", "reviewer", "notes", "enqueued_at")
+    """A queue row for each rejudged pair, with the reviewer, notes and time of its last queue row; a confident yes is approved if the configuration says so."""
+    order = [F.col(c) for c in ("updated_at", "enqueued_at") if c in queue_.columns]
+    carried = io.latest(queue_, ["pair_key"], *order).select("pair_key", "reviewer", "notes", "enqueued_at")
     approve = (F.col("llm_decision") == config.YES) & (F.col("llm_confidence") >= cfg.auto_approve_confidence) & F.lit(cfg.auto_approve)
     out = rerun.drop("reviewer", "notes", "enqueued_at").join(carried, "pair_key", "left")
     return out.withColumns(
         {
+            "queue_reason": F.lit(config.UNSURE),
             "status": F.when(approve, config.APPROVED).otherwise(config.QUEUED),
             "decision": F.when(approve, F.lit(config.AFTER_NOTES_TAG)),
         }
     )
 
 
+# The answers of a reviewer.
+SAY_YES, SAY_NO, SKIP = "y", "n", "s"
+
+
+def batch_answers(queue_: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A reviewer's answers (pair_key, answer y/n/s, note, reviewer) to queued pairs: (approved queue rows, notes).
+
+    Only a yes changes a pair; a no or a skip leaves it queued. A note holds for everyone and for the
+    pair's focal. Of several answers on a pair, a yes counts.
+    """
+    said = answers.select("pair_key", F.lower(F.trim("answer")).alias("answer"), F.col("note"), F.col("reviewer").alias("_reviewer"))
+    open_ = queue_.filter(F.col("status") == config.QUEUED)
+    yes = io.latest(said.filter(F.col("answer") == SAY_YES), ["pair_key"], F.col("note"), F.col("_reviewer"))
+    rows = open_.drop("reviewer", "notes", "decision").join(yes, "pair_key")
+    rows = rows.withColumns({"status": F.lit(config.APPROVED), "decision": F.lit(config.HUMAN_APPROVED), "reviewer": F.col("_reviewer"), "notes": F.nullif(F.trim("note"), F.lit(""))}).drop("answer", "note", "_reviewer")
+    noted = open_.select("pair_key", "focal_master_id").join(said.filter("trim(coalesce(note, '')) <> ''"), "pair_key")
+    scopes = F.explode(F.array(F.lit("GLOBAL"), F.lit("FOCAL"))).alias("scope")
+    notes_ = noted.select(scopes, "focal_master_id", "note").distinct()
+    return rows, notes_.withColumn("focal_master_id", F.when(F.col("scope") == "FOCAL", F.col("focal_master_id")))
+
+
+def admin_answers(proposals: DataFrame, answers: DataFrame) -> DataFrame:
+    """Gate rows of an admin's answers (pair_key, answer, note, reviewer) on proposed pairs: y approves, n rejects, anything else leaves the pair as it is."""
+    said = answers.select("pair_key", F.lower(F.trim("answer")).alias("_answer"), F.col("note").alias("notes"), "reviewer")
+    said = io.latest(said.filter(F.col("_answer").isin(SAY_YES, SAY_NO)), ["pair_key"], F.col("_answer") == SAY_NO, F.col("notes"))
+    ends = proposals.select("pair_key", F.col("m1").alias("focal_master_id"), F.col("m2").alias("candidate_master_id")).dropDuplicates(["pair_key"])
+    return ends.join(said, "pair_key").withColumn("action", F.when(F.col("_answer") == SAY_YES, "APPROVE").otherwise("REJECT")).drop("_answer")
+
+
 def decision_updates(updates: DataFrame, cfg: Config) -> DataFrame:
     """Ledger rows of given decisions; those without a pair or a decision are left out."""
     return updates.filter("pair_key IS NOT NULL AND pair_key <> '' AND decision IS NOT NULL AND decision <> ''").withColumn("source", F.lit(cfg.source))
 
 
+def status_events(queue_: DataFrame, updates: DataFrame) -> DataFrame:
+    """What decisions (pair_key, decision, reviewer, notes) make of the pairs' last queue rows: approved on YES, else rejected."""
+    new = io.latest(updates, ["pair_key"], F.col("decision"))
+    new = new.select("pair_key", F.col("decision").alias("_decision"), F.col("reviewer").alias("_reviewer"), F.col("notes").alias("_notes"))
+    out = queue_.join(new, "pair_key")
+    status = F.when(F.col("_decision") == config.YES, config.APPROVED).otherwise(config.REJECTED)
+    return out.withColumns({"status": status, "reviewer": F.col("_reviewer"), "notes": F.col("_notes")}).drop("_decision", "_reviewer", "_notes")
+
+
+def diagnostics(queue_: DataFrame, diff: DataFrame, human: DataFrame) -> DataFrame:
+    """One row: pairs queued, pairs rejudged, and pairs that a person has decided."""
+    one = queue_.agg(F.count_if(F.col("status") == config.QUEUED).alias("queued"))
+    two = diff.agg(F.count_if(F.col("change").isin("CHANGED", "CONFIRMED")).alias("rerun"))
+    three = human.agg(F.count_if(F.col("human_decision").isNotNull()).alias("human"))
+    # three rows of one aggregate each
+    return one.join(F.broadcast(two), F.lit(True)).join(F.broadcast(three), F.lit(True))
+
+
 def current_status(queue_: DataFrame, *order: Column) -> DataFrame:
     """The last event of each pair."""
     return io.latest(queue_, ["pair_key"], *order)
@@ -126,5 +175,5 @@ def transitive_yes(judged: DataFrame, affected: DataFrame | None = None) -> Data
             out = out.join(mark.withColumnsRenamed({"id": side, "_hit": f"_{side}"}), side, "left")
         inside = inside & (F.coalesce("_focal_master_id", "_candidate_master_id", F.lit(False)))
     inside = F.coalesce(inside, F.lit(False))
-    reason = F.when(inside, F.concat(F.lit("Transitively connected through focal rerun (via "), F.col("_a"), F.lit(")"))).otherwise(F.col("llm_reason"))
+    reason = F.when(inside, F.format_string(config.TRANSITIVE_REASON.replace("{}", "%s"), F.col("_a"))).otherwise(F.col("llm_reason"))
     return out.withColumns({"llm_reason": reason, "llm_decision": F.when(inside, config.YES).otherwise(F.col("llm_decision"))}).drop("_a", "_b", "_focal_master_id", "_candidate_master_id")

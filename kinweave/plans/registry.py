@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.config import Config
 from kinweave.functions import text, vector
 from kinweave.operators import graph, groups, jobs, match, notes, proposals, report, review
-from kinweave.plans import oracles
+from kinweave.operators.graph import shared_folder
+from kinweave.plans import cycle, oracles
+from kinweave.plans.service import Service
 from kinweave.sources import io
 
 CFG = Config(t_auto=0.40, t_low=0.30, batch_size=2)
@@ -121,6 +122,11 @@ def _operations(spark, d, kind: str) -> DataFrame:
     )
 
 
+def _folder(spark, name: str) -> str:
+    """A new folder for tables of a query, where checkpoints go too; the deployer's clean-up of that folder takes both."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _r6(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -179,10 +185,35 @@ def f06_token_sort_ratio(spark, d):
 @_query
 def f07_combined_score(spark, d):
     cfg = Config.pandas_profile()
-    say = lambda n, label: F.concat(F.lit("vec "), n.cast("string"), F.lit(" of label "), label.cast("string"))
-    fuzz = text.token_sort_ratio(say(F.col("vec_id"), F.col("label")), say(F.col("vec_id") + 1, F.col("other_label")))
+    one, two = F.col("vec_id").cast("string"), (F.col("vec_id") + 1).cast("string")
     emb = vector.cosine(F.col("embedding"), F.col("other"))
-    return _neighbours(spark, d).select("vec_id", F.round(F.lit(cfg.emb_weight) * emb + F.lit(cfg.fuzz_weight) * fuzz, 6).alias("score"))
+    pairs = _neighbours(spark, d).select("vec_id", one.alias("master_a_id"), two.alias("master_b_id"), emb.alias("score"))
+    names = _vectors(spark, d).select("id", F.concat(F.lit("Vec "), "id", F.lit(" of label: "), "label").alias("account_name"))
+    return _r6(match.with_fuzz(pairs, names, cfg).select("vec_id", "emb_score", "fuzz_score", "score"), "emb_score", "fuzz_score", "score")
+
+
+class _Letters:
+    """An embedder of one number a letter: how often it stands in the text."""
+
+    def __call__(self, texts):
+        return [[float(t.count(chr(97 + i))) for i in range(26)] for t in texts]
+
+
+@_query
+def x01_embed_batches(spark, d):
+    """Texts through an embedding service, 64 a request."""
+    texts = _parts(spark, d).select(F.col("account_id").alias("id"), text.weighted_text(["account_name"], {}).alias("similarity_text"))
+    out = jobs.embed(texts, _Letters())
+    return out.select("id", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("letters"))
+
+
+@_query
+def s18_fallback_vectors(spark, d):
+    """The offline embedder: equal texts get equal vectors, others other ones."""
+    texts = _parts(spark, d).select(F.col("account_id").alias("id"), text.normalize_name(F.col("account_name")).alias("similarity_text"))
+    out = jobs.embed(texts, jobs.hashed_embedder(16))
+    same = out.groupBy(F.xxhash64("embedding").alias("h")).agg(F.count("*").alias("group_size"), F.min("similarity_text").alias("name"), F.count_distinct("similarity_text").alias("texts"), F.max(F.size("embedding")).alias("dims"))
+    return same.select("name", "group_size", "texts", "dims")
 
 
 @_query
@@ -240,7 +271,15 @@ def d05_route_candidates(spark, d):
 
 @_query
 def a06_route_counts(spark, d):
-    return report.value_counts(match.route(_pairs(spark, d), CFG), "route")
+    return match.route_counts(_vectors(spark, d), CFG)
+
+
+@_query
+def j15_scores_of(spark, d):
+    """The score of each vector with the next one where that is in the upper band, else 0."""
+    a, b = F.col("vec_id").cast("string"), (F.col("vec_id") + 1).cast("string")
+    wanted = _t(spark, d, "embeddings").select("vec_id", text.pair_key(a, b).alias("pair_key"))
+    return _r6(match.scores_of(wanted, _pairs(spark, d, CFG.t_low)), "score")
 
 
 @_query
@@ -296,12 +335,65 @@ class _Banded:
 @_query
 def x04_judge_protocol(spark, d):
     work = jobs.build(_top(spark, d), _vectors(spark, d).select("id", "label"))
-    return _r6(jobs.judge(work, _Banded.judge), "score", "llm_confidence")
+    return _r6(jobs.judge(work, _Banded.judge).drop("request_id", "token_usage_json"), "score", "llm_confidence")
+
+
+class _Metered:
+    """A judge that tells what a request cost."""
+
+    @staticmethod
+    def judge(focal, candidates, context):
+        said = [{"candidate_master_id": c["candidate_master_id"], "decision": "NO", "confidence": 1.0, "reason": "strict"} for c in candidates]
+        return said, {"request_id": f"r-{focal}", "token_usage": {"candidates": len(candidates)}}
+
+
+@_query
+def f14_stored_results(spark, d):
+    """Judgements as stored, with what each request cost, and read back answer by answer; focals without answers leave nothing."""
+    work = jobs.build(_top(spark, d), _vectors(spark, d).select("id", "label")).filter("batch_index = 0")
+    stored = jobs.results(jobs.judge(work, _Metered.judge), model="strict")
+    none = stored.withColumns({"results": F.array().cast(stored.schema["results"].dataType), "focal_master_id": F.lit("nobody")})
+    out = jobs.exploded(stored.unionByName(none))
+    return out.select("pair_key", "focal_master_id", "llm_decision", "llm_reason", "prompt_version", "model_name", "request_id", "token_usage_json", F.col("decided_at").isNotNull().alias("stamped"))
+
+
+@_query
+def f15_prompts(spark, d):
+    work = jobs.prompts(jobs.build(_top(spark, d), _vectors(spark, d).select("id", "label")))
+    asked = F.from_json("prompt_json", "focal struct<id:string,label:string>, candidates array<struct<rank:int,candidate_master_id:string,candidate_label:string>>")
+    out = work.withColumn("p", asked).select("focal_master_id", "batch_index", F.explode("p.candidates").alias("c"), F.col("p.focal").alias("f"))
+    return out.select("focal_master_id", "batch_index", F.col("f.id").alias("asked_id"), F.col("f.label").alias("focal_label"), F.col("c.rank").alias("rank"), F.col("c.candidate_master_id").alias("candidate_master_id"), F.col("c.candidate_label").alias("candidate_label"))
+
+
+@_query
+def o05_focals_in_order(spark, d):
+    return report.placed(_top(spark, d).select("master_a_id").distinct(), F.col("master_a_id"))
+
+
+def _judge_again(rows: DataFrame) -> DataFrame:
+    """The offline judge on a rerun: a pair with a note that starts with look needs less for a yes."""
+    look = F.coalesce(F.col("context_used").startswith("look"), F.lit(False))
+    decision = F.when(F.col("score") >= F.when(look, 0.34).otherwise(YES_FROM), "YES").when(F.col("score") < NO_BELOW, "NO").otherwise("NEEDS_CONFIRMATION")
+    ids = [F.col("master_a_id").alias("focal_master_id"), F.col("master_b_id").alias("candidate_master_id")]
+    return rows.select(*ids, "pair_key", "score", decision.alias("llm_decision"), F.round(F.col("score") * 2, 6).alias("llm_confidence"), F.lit("again").alias("llm_reason"))
 
 
 @_query
 def d08_rerun(spark, d):
-    """Rerun around two focals, with notes by precedence."""
+    """All stored answers around some focals, judged again with notes, and what that makes of the queue."""
+    judged = _judged(spark, d)
+    stored = jobs.results(judged).withColumn("run_id", F.lit("1"))
+    older = jobs.results(judged.withColumn("score", F.lit(0.0))).withColumns({"run_id": F.lit("0"), "decided_at": F.lit(None).cast("timestamp")})
+    cfg = CFG.with_(rerun_scope="component", rerun_focals=("0", "20", "40", "60", "80"), global_notes="everyone", focal_notes={"20": "look twice", "31": "look once"}, auto_approve_confidence=0.70)
+    again = jobs.rejudge(stored.unionByName(older), _vectors(spark, d).select("id", "label"), cfg, _judge_again)
+    queued = review.queue(judged, CFG).select("pair_key", F.lit("ann").alias("reviewer"), F.lit("see").alias("notes"), F.lit(1).alias("enqueued_at"))
+    twice = queued.unionByName(queued.withColumns({"reviewer": F.lit("bob"), "enqueued_at": F.lit(2)}))
+    return review.rerun_updates(again, twice, cfg).select("pair_key", "llm_decision", "llm_confidence", "llm_reason", "context_used", "context_hash", "status", "decision", "reviewer")
+
+
+@_query
+def d08_rerun_notes(spark, d):
+    """Notes by precedence around some focals."""
     judged = _judged(spark, d)
     number = F.col("focal_master_id").cast("long")
     chosen = judged.filter(number % 20 == 0).select(F.col("focal_master_id").alias("id"))
@@ -383,26 +475,39 @@ def a07_decision_counts(spark, d):
 @_query
 def p15_decision_view(spark, d):
     shown = _judged(spark, d).filter(F.col("llm_decision").isin("YES", "NEEDS_CONFIRMATION"))
-    place = F.row_number().over(Window.orderBy(F.desc("llm_confidence"), F.desc("score"), "pair_key"))
-    return shown.select("pair_key", "llm_decision", place.alias("place"))
+    out = report.placed(shown, F.desc("llm_confidence"), F.desc("score"), F.col("pair_key"))
+    return out.select("pair_key", "llm_decision", "place")
 
 
+_PROPOSED = ["pair_key", "m1", "m2", "source", "score", "reason", "confidence"]
+
 # --- proposals and ledgers -----------------------------------------------------------------------
 
 
 @_query
 def d12_proposals(spark, d):
-    return _r6(_draft(spark, d), "score", "confidence")
+    return _r6(_draft(spark, d).select(*_PROPOSED), "score", "confidence")
 
 
 @_query
 def d13_admin_gate(spark, d):
-    return _r6(_final(spark, d), "score", "confidence")
+    return _r6(_final(spark, d).select(*_PROPOSED), "score", "confidence")
+
+
+@_query
+def d14_preview(spark, d):
+    """The preview as it is written and read back: proposals, chosen columns, time."""
+    base = _folder(spark, "preview")
+    cfg = CFG.with_(run_id="p1", similarity_columns=("a", "b"))
+    io.append(proposals.preview(_final(spark, d), cfg), base, "proposals")
+    out = io.read(spark, base, "proposals", run_id="p1")
+    return out.select("pair_key", "m1", "m2", "source", "reason", "prompt_version", "column_config", "run_id", F.col("preview_at").isNotNull().alias("stamped"))
 
 
 @_query
 def d15_decision_ledger(spark, d):
-    return _r6(proposals.decision_rows(_final(spark, d), _gate(spark, d)), "score")
+    rows = proposals.decision_rows(_final(spark, d), _gate(spark, d))
+    return _r6(rows.select("pair_key", "source", "score", "reason", "decision"), "score")
 
 
 @_query
@@ -426,7 +531,7 @@ def s09_upsert_keep_last(spark, d):
 @_query
 def s10_append_roundtrip(spark, d):
     """The decision ledger of two runs, one of them written twice, read back."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='kinweave-')}/ledger-{uuid.uuid4().hex}"
+    folder = _folder(spark, "ledger")
     rows = _t(spark, d, "nation").select(F.col("n_name").alias("pair_key"), F.col("n_nationkey").cast("double").alias("score"), F.lit("YES").alias("decision"), (F.col("n_nationkey") % 2).cast("string").alias("run_id"))
     io.append(rows, folder, "decisions")
     io.append(rows.filter("run_id = '1'"), folder, "decisions")
@@ -536,7 +641,11 @@ def d19_reparent_member(spark, d):
 
 @_query
 def d20_add_parent(spark, d):
-    return _after(spark, d, groups.ADD_PARENT)
+    """Singletons alone get a parent; the operation doesn't fit other parts."""
+    matched = _part_groups(spark, d)
+    ops = groups.allowed(matched.withColumn("is_master", F.coalesce(F.col("is_master") | (F.col("account_id") == "1"), F.lit(False))), _operations(spark, d, groups.ADD_PARENT))
+    none = spark.createDataFrame([], "old_master_id string, canonical_master_id string")
+    return match.apply_mapping(matched, none, groups.overrides(matched, ops)).select("account_id", "master_account_id", "group_size", "is_master")
 
 
 @_query
@@ -563,7 +672,8 @@ def d31_drilldown(spark, d):
 
 @_query
 def d31_pairs_of(spark, d):
-    return _r6(report.pairs_of(_pairs(spark, d), "7"), "score")
+    vectors = _vectors(spark, d)
+    return _r6(match.pairs_of(vectors, vectors.filter("id = '7'")), "score")
 
 
 @_query
@@ -592,13 +702,140 @@ def d35_status_report(spark, d):
     return report.status({"full_match": match.perfect_match(_documents(spark, d)), "candidates": _band(spark, d), "judged": _judged(spark, d)})
 
 
+def _vector_accounts(spark, d) -> DataFrame:
+    return _vectors(spark, d).select(F.col("id").alias("account_id"), F.concat_ws(" ", F.lit("vec"), "id").alias("account_name"))
+
+
 @_query
 def d37_full_cycle(spark, d):
-    """Vectors as accounts named by label and id, from judgement to gold."""
-    accounts = _vectors(spark, d).select(F.col("id").alias("account_id"), F.concat_ws(" ", F.lit("vec"), "id").alias("account_name"))
-    matched = match.perfect_match(accounts)
-    applied = proposals.postapply(matched, proposals.mapping_delta(_final(spark, d)))
-    return proposals.gold(applied).select("account_id", "group_size", "is_dupe")
+    """One cycle over vectors as accounts named by their id: exact groups, stored embeddings, judging, approvals, admin, gold."""
+    state = {"review_queue": _approvals(spark, d), "admin_gate": _gate(spark, d)}
+    judge = jobs.band_judge(YES_FROM, NO_BELOW)
+    out = cycle.run_cycle(_vector_accounts(spark, d), CFG.with_(keep_rejected=False), jobs.Stored(_vectors(spark, d)), judge, state)
+    return out["gold"].select("account_id", "group_size", "is_dupe")
+
+
+def _service(spark, d) -> Service:
+    return Service(spark, _folder(spark, "tables"), jobs.Stored(_vectors(spark, d)), jobs.band_judge(YES_FROM, NO_BELOW))
+
+
+_PARAMS = {"RUN_ID": "r1", "T_AUTO": "0.40", "T_LLM_LOW": "0.30", "LLM_BATCH_SIZE": "2", "KEEP_REJECTED": "false", "FINALIZE": "true"}
+
+
+@_query
+def d36_router(spark, d):
+    """Operations between tables: a pipeline run, people's decisions on queued pairs, finalising."""
+    own = _service(spark, d)
+    queue = own.run("FULL_PIPELINE", {**_PARAMS, "accounts": _vector_accounts(spark, d)})["review_queue"]
+    rest = F.col("focal_master_id").cast("long") % 3
+    said = queue.select("pair_key", F.when(rest == 0, "YES").when(rest == 1, "NO").alias("decision"), F.lit("ann").alias("reviewer"), F.lit(None).cast("string").alias("notes"))
+    own.run("UPDATE_DECISIONS", {**_PARAMS, "updates": said.filter("decision IS NOT NULL")})
+    return own.run("finalize", _PARAMS)["gold"].select("account_id", "group_size", "is_dupe", "run_id")
+
+
+@_query
+def s03_run_partition(spark, d):
+    """Only the partition of one run is read."""
+    base = _folder(spark, "runs")
+    rows = _t(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("old_master_id"), F.lit("1").alias("canonical_master_id"), (F.col("s_suppkey") % 5).cast("string").alias("run_id"), F.lit("x").alias("step"))
+    io.append(rows, base, "mapping")
+    return io.read(spark, base, "mapping", run_id="3").select("old_master_id", "canonical_master_id", "run_id")
+
+
+@_query
+def s04_csv_roundtrip(spark, d):
+    path = _folder(spark, "csv")
+    io.write_csv(_t(spark, d, "nation").select("n_nationkey", "n_name"), path)
+    return io.read_csv(spark, path, ("n_nationkey", "n_name")).select("n_nationkey", "n_name")
+
+
+@_query
+def s12_status_events(spark, d):
+    """The queue after people's decisions: the last event of each pair."""
+    judged = review.queue(_judged(spark, d), CFG).withColumns({"reviewer": F.lit(None).cast("string"), "notes": F.lit(None).cast("string"), "at": F.lit(1)})
+    rest = F.col("focal_master_id").cast("long") % 3
+    said = judged.select("pair_key", F.when(rest == 0, "YES").when(rest == 1, "NO").alias("decision"), F.lit("ann").alias("reviewer"), F.lit("ok").alias("notes"))
+    events = review.status_events(judged, review.decision_updates(said, CFG)).withColumn("at", F.lit(2))
+    return review.current_status(judged.unionByName(events), F.col("at")).select("pair_key", "status", "reviewer", "notes")
+
+
+@_query
+def p01_project(spark, d):
+    return io.project(_t(spark, d, "supplier"), ["s_suppkey", "nothing", "s_name"])
+
+
+@_query
+def p02_ensure_columns(spark, d):
+    return io.ensure_columns(_t(spark, d, "region").select("r_regionkey", "r_name"), {"r_name": "int", "score": "double"})
+
+
+@_query
+def d17_effective_mapping(spark, d):
+    """Every second number of a two-step chain is detached by a later run."""
+    first = _chains(spark, d).withColumns({"run_id": F.lit("1"), "n": F.lit(1)})
+    number = F.col("old_master_id").cast("long")
+    later = first.filter(number % 20 == 2).withColumns({"canonical_master_id": F.col("old_master_id"), "run_id": F.lit("2"), "n": F.lit(2)})
+    return proposals.effective(first.unionByName(later), F.col("n"), F.col("run_id"))
+
+
+def _answers(rows: DataFrame) -> DataFrame:
+    number = F.col("focal_master_id").cast("long") % 4
+    answer = F.when(number == 0, " Y ").when(number == 1, "n").otherwise("s")
+    return rows.select("pair_key", answer.alias("answer"), F.when(number < 2, F.concat(F.lit("seen "), "focal_master_id")).alias("note"), F.lit("ann").alias("reviewer"))
+
+
+@_query
+def d34_review_answers(spark, d):
+    """A reviewer's answers to all queued pairs: what is approved, and the notes that are left."""
+    queued = review.queue(_judged(spark, d), CFG)
+    approved, noted = review.batch_answers(queued, _answers(queued))
+    one = approved.select(F.lit("PAIR").alias("kind"), F.col("pair_key").alias("key"), F.concat_ws(":", "status", "decision", "reviewer", "notes").alias("what"))
+    return one.unionByName(noted.select(F.col("scope").alias("kind"), F.col("focal_master_id").alias("key"), F.col("note").alias("what")))
+
+
+@_query
+def d34_admin_answers(spark, d):
+    drafted = proposals.strongest(_draft(spark, d))
+    answers = _answers(drafted.withColumn("focal_master_id", F.col("m1")))
+    return review.admin_answers(drafted, answers).select("pair_key", "focal_master_id", "candidate_master_id", "action", "reviewer", "notes")
+
+
+@_query
+def v04_edit_rows(spark, d):
+    rows = io.without(_t(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("n_nationkey"), "n_name"), "n_nationkey", "3", "7")
+    return io.with_blank(rows, n_name="NEWLAND")
+
+
+@_query
+def v02_rejudge_focal(spark, d):
+    """A rerun asks once for each focal, with all its pairs; the answers tell how many there were."""
+    stored = jobs.results(_judged(spark, d)).withColumn("run_id", F.lit("1"))
+    out = jobs.rejudge(stored, _vectors(spark, d).select("id", "label"), CFG, _Metered)
+    return out.select("pair_key", "request_id", "token_usage_json", "llm_decision")
+
+
+@_query
+def v08_change_preview(spark, d):
+    changes = review.decision_changes(_judged(spark, d), _judged(spark, d, 0.36, 0.33))
+    return report.change_preview(changes, review.affected_accounts(changes, _yes(spark, d)), match.perfect_match(_vector_accounts(spark, d)))
+
+
+@_query
+def v12_queue_diagnostics(spark, d):
+    return review.diagnostics(review.queue(_judged(spark, d), CFG), _diff(spark, d), _human(spark, d))
+
+
+@_query
+def v15_applied_merges(spark, d):
+    names = _vectors(spark, d).select("id", F.concat_ws(" ", F.lit("label"), "label").alias("account_name"))
+    return report.applied_merges(proposals.mapping_delta(_edges(spark, d)), names.filter(F.col("id").cast("long") % 3 > 0))
+
+
+@_query
+def g08_transitive_yes_affected(spark, d):
+    """Only pairs that touch an affected id turn."""
+    out = review.transitive_yes(_judged(spark, d, 0.345, 0.33), _vectors(spark, d).filter(F.col("id").cast("long") % 2 == 0).select("id"))
+    return out.select("pair_key", "llm_decision", "llm_reason")
 
 
 # --- edits, previews, summaries ------------------------------------------------------------------
@@ -620,7 +857,7 @@ def v07_edit_decisions(spark, d):
 
 @_query
 def d26_finalize_edited(spark, d):
-    accounts = _vectors(spark, d).select(F.col("id").alias("account_id"), F.concat_ws(" ", F.lit("vec"), "id").alias("account_name"))
+    accounts = _vector_accounts(spark, d)
     delta = proposals.mapping_delta(proposals.edited(_edited(spark, d)))
     return proposals.gold(proposals.postapply(match.perfect_match(accounts), delta)).select("account_id", "group_size", "is_dupe")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from kinweave import schemas
 
@@ -29,9 +30,9 @@ def conform(df: DataFrame, table: str, metadata: tuple[str, ...] = ()) -> DataFr
 
 
 def append(df: DataFrame, base: str, table: str, metadata: tuple[str, ...] = ()) -> None:
-    """Writes rows of one or more runs; writing a run again replaces it."""
+    """Writes rows of one or more runs; writing a run (or one step of it) again replaces it."""
     out = conform(df, table, metadata).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    (out.partitionBy("run_id") if "run_id" in schemas.TABLES[table] else out.mode("append")).parquet(f"{base}/{table}")
+    out.partitionBy(*schemas.partitions(table)).parquet(f"{base}/{table}")
 
 
 def read_csv(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
@@ -51,6 +52,17 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def with_blank(df: DataFrame, **values) -> DataFrame:
+    """The rows and one more, null but for the given values."""
+    shape = StructType([StructField(f.name, f.dataType) for f in df.schema])
+    return df.unionByName(df.sparkSession.createDataFrame([tuple(values.get(f.name) for f in shape)], shape))
+
+
+def without(df: DataFrame, key: str, *values) -> DataFrame:
+    """The rows but for those of the given keys; rows without a key stay."""
+    return df.filter(~F.coalesce(F.col(key).isin(*values), F.lit(False)))
+
+
 def project(df: DataFrame, wanted: list[str]) -> DataFrame:
     """Those of the wanted columns that are there."""
     return df.select(*[c for c in wanted if c in df.columns])

@@ -4,10 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinweave import __main__ as cli
 from kinweave.config import Config, parse_accounts
 from kinweave.functions import text, vector
 from kinweave.operators import graph, groups, jobs, match, notes, proposals, report, review
 from kinweave.plans import cycle
+from kinweave.plans.service import Service
 from kinweave.sources import io
 
 NINE = [
@@ -208,3 +210,143 @@ def test_embedding_is_the_same_everywhere(spark):
     one, two = (sorted((r.id, tuple(r.embedding)) for r in jobs.embed(t, jobs.hashed_embedder(8), 4).collect()) for t in (texts, texts.repartition(5)))
     assert one == two and len({e for _, e in one}) == 3
     assert report.value_counts(texts, "similarity_text").count() == 3
+
+
+def test_hot_names_and_masters(spark):
+    rows = accounts(spark, [(str(i), "Blank & Co") for i in range(900)] + [(f"x{i}", f"name {i}") for i in range(100)])
+    got = match.perfect_match(rows)
+    assert {(r.master_account_id, r.group_size) for r in got.filter("group_size > 1").collect()} == {("0", 900)}
+    assert got.count() == 1000 and "Window" not in got._jdf.queryExecution().toString()
+    over = spark.createDataFrame([(str(i), str(i)) for i in range(5)], "account_id string, master_account_id string")
+    none = spark.createDataFrame([], "old_master_id string, canonical_master_id string")
+    after = match.apply_mapping(got, none, over)
+    assert after.filter("account_id = '7'").first().group_size == 896
+
+
+def test_incremental_pairs_take_only_the_affected_products(spark):
+    rows = [(str(i), [float(i), 1.0]) for i in range(50)]
+    df = spark.createDataFrame(rows, "id string, embedding array<double>")
+    some = df.filter("id in ('3', '7')")
+    got = {(r.a_id, r.b_id) for r in vector.cross_pairs(some, df, tile_rows=8).collect()}
+    every = {(r.a_id, r.b_id): r.score for r in vector.all_pairs(df, tile_rows=8).collect()}
+    assert got == {k for k in every if {"3", "7"} & set(k)}
+    plan = vector.cross_pairs(some, df, tile_rows=8, counts=(2, 50))
+    assert plan.count() == 49 + 48
+    bands = {r.band: r.n for r in vector.band_counts(df, (0.5, 0.9), tile_rows=8).collect()}
+    assert bands == {b: n for b in range(3) if (n := sum((0, 0.5, 0.9)[b] <= s < (0.5, 0.9, 2)[b] for s in every.values()))}
+    odd = spark.createDataFrame([("a", [1.0, 2.0, 3.0]), ("b", [1.0, 2.0]), ("c", []), ("d", None), ("e", [0.0, 0.0])], "id string, embedding array<double>")
+    assert {(r.a_id, r.b_id): round(r.score, 6) for r in vector.all_pairs(odd).collect() if r.score} == {("a", "b"): 1.0}
+
+
+def test_places_in_a_whole_order(spark):
+    rows = [(i * 7919 % 1000, i) for i in range(1000)]
+    got = report.placed(spark.createDataFrame(rows, "a int, b int"), F.desc("a")).collect()
+    assert sorted((-r.a, r.place) for r in got) == [(-999 + i, i + 1) for i in range(1000)]
+
+
+def test_rejected_pairs_can_be_left_in_the_tiles():
+    assert match.least_cosine(Config()) is None
+    assert match.least_cosine(Config(keep_rejected=False)) == 0.70
+    assert match.least_cosine(Config(keep_rejected=False, t_low=0.6, emb_weight=0.95, fuzz_weight=0.05)) == pytest.approx(0.55 / 0.95)
+
+
+def test_settings_and_lazy_clients(spark):
+    with pytest.raises(ValueError, match="KEY, URL"):
+        jobs.settings({"NAME": "x", "URL": ""}, "NAME", "KEY", "URL")
+    built = jobs.Lazy(lambda: lambda texts: [[float(len(t))] for t in texts])
+    texts = spark.createDataFrame([("1", "ab"), ("2", "abc")], "id string, similarity_text string")
+    assert {r.id: list(r.embedding) for r in jobs.embed(texts, built).collect()} == {"1": [2.0], "2": [3.0]}
+
+
+CLOSE = {"acme corp": [1.0, 0.0], "acme corporation": [0.99, 0.1], "acme int": [0.8, -0.6], "microsoft": [0.0, 1.0], "microsoft corporation": [0.5, 0.87], "zed": [-1.0, 0.1]}
+
+
+def offline(texts):
+    return [CLOSE.get(t, [-1.0, -1.0]) for t in texts]
+
+
+def test_runs_between_tables(spark, tmp_path):
+    own = Service(spark, str(tmp_path), offline, jobs.band_judge(0.97, 0.75))
+    given = [{"account_id": i, "account_name": n} for i, n in NINE if i[0] in "ad"]
+    first = {"RUN_ID": "run-1", "T_LLM_LOW": "0.6", "FINALIZE": True}
+    for _ in range(2):  # a repeated operation leaves what one would
+        own.run("FULL_PIPELINE", {**first, "accounts": given})
+    assert own.table("accounts_raw").count() == 5 and own.table("pairs").count() == 6
+    assert {r.route for r in own.table("candidates").filter("pair_key = 'a1|a3'").collect()} == {"AUTO_YES_95"}
+    assert own.table("candidates").filter("tagged_at is null").count() == 0
+    queue = {r.pair_key: r.status for r in own.table("review_queue").collect()}
+    assert queue == {"d1|d2": "QUEUED"}
+    own.run("REVIEW", {**first, "answers": [{"pair_key": "d1|d2", "answer": "y", "note": "!same firm", "reviewer": "ann"}]})
+    assert {(r.scope, r.focal_master_id, r.note) for r in own.table("notes").collect()} == {("GLOBAL", None, "same firm"), ("FOCAL", "d1", "same firm")}
+    shown = own.run("FINALIZE", {**first, "FINALIZE": False})
+    assert set(shown) == {"proposals"} and own.table("mapping").count() == 0
+    for _ in range(2):
+        done = own.run("FINALIZE", first)
+    assert {(r.account_id, r.group_size) for r in done["gold"].collect()} == {("a1", 3), ("d1", 2)}
+    assert {(r.old_master_id, r.canonical_master_id, r.source) for r in own.table("mapping").collect()} == {("a3", "a1", "FINALIZATION"), ("d2", "d1", "FINALIZATION")}
+    assert {r.pair_key: r.source for r in own.table("decisions").collect()} == {"a1|a3": "AUTO_95", "d1|d2": "HUMAN_APPROVED"}
+    # a second run carries the mapping over, and people's group operations after it
+    second = {**first, "RUN_ID": "run-2"}
+    own.run("FULL_PIPELINE", {**second, "accounts": [*given, {"account_id": "a6", "account_name": "ACME Int"}]})
+    assert {(r.account_id, r.master_account_id) for r in own.table("full_match", run_id="run-2").collect()} == {("a1", "a1"), ("a2", "a1"), ("a3", "a1"), ("a6", "a6"), ("d1", "d1"), ("d2", "d1")}
+    assert {r.pair_key for r in own.table("review_queue", run_id="run-2").collect()} == {"a1|a6"}
+    log = own.run("GROUP_OPERATIONS", {**second, "operations": [{"operation": "remove_member", "target_id": "d2"}, {"operation": "dance", "target_id": "d1"}], "reviewer": "bob"})["operations"]
+    assert {(r.operation, r.status, r.reviewer) for r in log.collect()} == {("remove_member", "completed", "bob"), ("dance", "failed", "bob")}
+    own.run("UPDATE_DECISIONS", {**second, "updates": [{"pair_key": "a1|a6", "decision": "YES", "reviewer": "ann"}, {"pair_key": "", "decision": "NO"}]})
+    gold = own.run("FINALIZE", second)["gold"]
+    assert {(r.account_id, r.group_size) for r in gold.collect()} == {("a1", 4), ("d1", 1), ("d2", 1)}
+    assert own.run("STATUS", second)["status"].filter("table = 'gold'").first()["rows"] == 5
+    with pytest.raises(ValueError, match="unknown operation"):
+        own.run("DANCE")
+
+
+def test_rerun_between_tables(spark, tmp_path):
+    own = Service(spark, str(tmp_path), offline)
+    given = [{"account_id": i, "account_name": n} for i, n in [("a1", "ACME Corp"), ("a6", "ACME Int"), ("d1", "Microsoft"), ("d2", "Microsoft Corporation")]]
+    params = {"RUN_ID": "r", "T_LLM_LOW": "0.6"}
+    own.run("FULL_PIPELINE", {**params, "accounts": given})
+    assert {r.pair_key: r.status for r in own.table("review_queue").collect()} == {"a1|a6": "QUEUED", "d1|d2": "QUEUED"}
+    asked = []
+
+    class Strict:
+        @staticmethod
+        def judge(focal, candidates, context):
+            said = [{"candidate_master_id": c["candidate_master_id"], "decision": "YES", "confidence": 0.95, "reason": context} for c in candidates if "candidate_account_name" in c]
+            return said, {"token_usage": {"asked": len(candidates)}}
+
+    own.judge = Strict
+    out = own.run("RERUN_ONLY", {**params, "RERUN_SCOPE": "component", "RERUN_FOCALS": "d2", "GLOBAL_NOTES": "all", "FOCAL_NOTES_JSON": {"d1": "just him"}})
+    assert {(r.pair_key, r.status, r.decision, r.llm_reason, r.prompt_version) for r in out["review_queue"].collect()} == {("d1|d2", "APPROVED", "HUMAN_APPROVED_AFTER_NOTES", "just him", "v2_with_context")}
+    assert out["llm_results"].first().token_usage_json == '{"asked": 1}' and not asked
+    gold = own.run("FINALIZE", {**params, "FINALIZE": True})
+    assert {(r.account_id, r.group_size) for r in gold["gold"].collect()} == {("a1", 1), ("a6", 1), ("d1", 2)}
+    assert {r.source for r in gold["decisions"].collect()} == {"HUMAN_NOTES_AUTO_APPROVED"}
+
+
+def test_command_line(spark, tmp_path):
+    base = str(tmp_path / "tables")
+    answers = tmp_path / "answers.csv"
+    answers.write_text("pair_key,answer,note,reviewer\na1|zz,n,,ann\n")
+    out = cli.main(["--base", base, "--cycle_name", "c1", "--demo_stateful", "--add_accounts", "z9|Zed", "--review", str(answers), "--admin_review", str(answers), "--rerun_scope", "all"], spark)
+    assert out["gold"].count() == 6 and out["gold"].filter("account_id = 'z9'").count() == 1
+    again = cli.main(["--base", base, "--cycle_name", "c2", "--demo_stateful"], spark)
+    assert again["gold"].filter("account_id = 'z9'").count() == 1
+    assert spark.read.option("header", True).csv(f"{base}/export/c1/gold").count() == 6
+    given = tmp_path / "in.csv"
+    given.write_text("account_id,account_name\n1,Acme\n2,ACME\n")
+    assert cli.main(["--base", str(tmp_path / "more"), "--input_csv", str(given)], spark)["gold"].count() == 1
+    given.write_text("id,name\n1,Acme\n")
+    with pytest.raises(ValueError, match="missing columns"):
+        cli.main(["--base", str(tmp_path / "none"), "--input_csv", str(given)], spark)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        get = staticmethod(lambda name, default: default)
+
+    class Session:
+        conf = Conf
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        graph.shared_folder(Session)
