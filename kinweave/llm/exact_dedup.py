@@ -120,8 +120,7 @@ def fingerprints(table: DataFrame, modulus: int | None = None, huge_chars: int =
     long = F.coalesce(F.length("text") > huge_chars, F.lit(False))
     usual = docs.filter(~long).mapInArrow(_prints(modulus), _PRINTS)
     n = F.ceil(F.length("text") / huge_chars).cast("int")
-    sha = F.sha2(F.translate("text", " \t\n\x0b\x0c\r", "").cast("binary"), 256)
-    huge = docs.filter(long).select("doc_id", F.sha2("text", 256).alias("mark"), F.length("text").cast("long").alias("n_chars"), sha.alias("text_sha256"), "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
+    huge = docs.filter(long).select("doc_id", F.sha2("text", 256).alias("mark"), F.length("text").cast("long").alias("n_chars"), _sha().alias("text_sha256"), "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
     part = F.substring("text", F.col("chunk") * huge_chars + 1, F.lit(huge_chars)).alias("part")
     chunks = huge.select("doc_id", "mark", "n_chars", "text_sha256", "chunk", part).repartition("mark", "chunk")
     chunks = chunks.mapInArrow(_chunk_prints(modulus), "doc_id long, mark string, n_chars long, text_sha256 string, chunk int, fingerprint binary, n_bytes long")
@@ -155,22 +154,30 @@ def _pieces(batches, chunk: int):
 
 
 def _unequal(batches):
-    """Streams chunks; a group whose chunks of one number differ is returned."""
-    first: dict[tuple[bytes, int], bytes] = {}
-    odd = set()
+    """Streams chunks in order of group and number; a group whose chunks of one number differ is returned."""
+    last, first, odd = None, b"", set()
     for batch in batches:
         for group, number, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if number < 0 or first.setdefault((group, number), data) != data:
+            if (group, number) != last:
+                last, first = (group, number), data
+            if number < 0 or data != first:
                 odd.add(group)
     yield words.plain(["group"], [pa.array(sorted(odd), pa.binary())])
 
 
+def _sha(text: str = "text"):
+    return F.sha2(F.translate(F.coalesce(F.col(text), F.lit("")), " \t\n\x0b\x0c\r", "").cast("binary"), 256)
+
+
 def collisions(table: DataFrame, members: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
-    """The groups (fingerprint, length) of members whose texts aren't all equal; members: doc_id, group."""
-    copies = shards.documents(table).join(members, "doc_id").select("doc_id", "text", "group")
+    """The groups (fingerprint, length) of members whose texts aren't all equal; members: doc_id, text_sha256, group, each once."""
+    # a row meets its own group by doc_id and text, as a doc_id may be null or stand for several texts
+    docs = shards.documents(table).withColumn("text_sha256", _sha())
+    copies = docs.join(members, ["doc_id", "text_sha256"]).select("doc_id", "text", "group")
     parts = copies.mapInArrow(lambda b: _pieces(b, chunk), "group binary, chunk int, doc_id long, data binary")
     n = shards.shard_count(table.sparkSession)
-    return parts.select("group", "chunk", "data").repartition(n, "group", "chunk").mapInArrow(_unequal, "group binary").distinct()
+    parts = parts.select("group", "chunk", "data").repartition(n, "group", "chunk").sortWithinPartitions("group", "chunk")
+    return parts.mapInArrow(_unequal, "group binary").distinct()
 
 
 def _best(found: DataFrame) -> DataFrame:
@@ -183,7 +190,7 @@ def dedup(table: DataFrame, modulus: int | None = None, huge_chars: int = HUGE_C
     found = shards.checkpointed(fingerprints(table, modulus, huge_chars).withColumn("group", F.concat("fingerprint", F.col("n_bytes").cast("string").cast("binary"))))
     # both sides of the joins on a group are plain scans, so that AQE can split a group of many copies
     best = shards.checkpointed(_best(found))
-    members = found.select("doc_id", "group").distinct().join(best.filter("group_size > 1"), "group").select("doc_id", "group")
+    members = found.select("doc_id", "text_sha256", "group").distinct().join(best.filter("group_size > 1"), "group").select("doc_id", "text_sha256", "group")
     odd = shards.checkpointed(collisions(table, members, chunk))
     if not odd.isEmpty():
         odd = odd.withColumn("odd", F.lit(True))
@@ -204,9 +211,9 @@ def kept_documents(table: DataFrame) -> DataFrame:
 
     Rows are told apart by all that they hold, not by their doc_id; a row that is repeated as a whole stays once.
     """
-    rows = shards.with_row_key(table)
-    found = dedup(rows.select(F.col("_row").alias("doc_id"), "text"))
-    groups = shards.checkpointed(found.filter("group_size > 1").select(F.col("doc_id").alias("_row"), "keep_id").distinct())
-    ids = rows.select("_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(shards.NO_ID)).alias("id"), (-F.coalesce(F.length(F.col("text").cast("string")), F.lit(0))).alias("less"))
-    best = groups.join(ids, "_row").groupBy("keep_id").agg(F.min(F.struct("less", "id", "_row")).alias("best"))
-    return shards.without(rows, groups.join(best.select("best._row"), "_row", "left_anti").select("_row"))
+    rows, key = shards.with_row_key(table)
+    found = dedup(rows.select(F.col(key).alias("doc_id"), "text"))
+    groups = shards.checkpointed(found.filter("group_size > 1").select(F.col("doc_id").alias("row"), "keep_id").distinct())
+    ids = rows.select(F.col(key).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(shards.NO_ID)).alias("id"), (-F.coalesce(F.length(F.col("text").cast("string")), F.lit(0))).alias("less"))
+    best = groups.join(ids, "row").groupBy("keep_id").agg(F.min(F.struct("less", "id", "row")).alias("best"))
+    return shards.without(rows, key, groups.join(best.select("best.row"), "row", "left_anti").select(F.col("row").alias("gone")))

@@ -9,7 +9,6 @@ one record per buffer.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.operators.graph import checkpointed as checkpointed
+
 FLUSH_BYTES = 48 << 20
 _PACKED = "shard int, kind int, data binary"
 
@@ -68,15 +69,6 @@ def exchange(
     return source.mapInArrow(send, _PACKED).repartitionById(n, F.col("shard")).mapInArrow(receive, schema)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder that the cluster names; lineage ends there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kinweave-checkpoints-"))
-    return df.checkpoint()
-
-
 def joined(parts: list[bytes] | None, kind: np.dtype) -> np.ndarray:
     return np.frombuffer(b"".join(parts or []), kind)
 
@@ -110,16 +102,29 @@ def real_id(name: str = "doc_id"):
     return F.nullif(F.col(name), F.lit(NO_ID)).alias(name)
 
 
-def with_row_key(table: DataFrame) -> DataFrame:
-    """The table with ``_row``, a 64-bit hash of all that a row holds: rows that share it are the same row again.
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(table: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, in any case of letters."""
+    taken = {c.lower() for c in table.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_row_key(table: DataFrame) -> tuple[DataFrame, str]:
+    """The table with a 64-bit hash of all that a row holds, and that column's name: rows that share it are the same row again.
 
     A doc_id may be null or stand for several texts; this names the row whatever its doc_id.
     """
-    names = [F.col(f"`{c}`") for c, kind in table.dtypes if "map<" not in kind and "variant" not in kind]
-    return table.withColumn("_row", F.xxhash64(*names, *[x.isNull() for x in names]))
+    names = [F.col(quoted(c)) for c, kind in table.dtypes if "map<" not in kind and "variant" not in kind]
+    key = fresh(table, "_row")
+    return table.withColumn(key, F.xxhash64(*names, *[x.isNull() for x in names])), key
 
 
-def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """One row of each ``_row`` that isn't among those of gone, without that column."""
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """One row of each key that isn't in the column ``gone``, without the key."""
     # repeats are combined before the shuffle, and the join finds the rows dealt out as it needs them
-    return rows.dropDuplicates(["_row"]).join(gone, "_row", "left_anti").drop("_row")
+    return rows.dropDuplicates([key]).join(gone.withColumnRenamed("gone", key), key, "left_anti").drop(key)

@@ -84,13 +84,13 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word; words of up to eight bytes and one length never share one."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word; words of up to eight bytes and one length never share one. Other seeds give other hashes."""
     size = ends - starts
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = data
     eight = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
-    out = (eight[starts] & _MASK[np.minimum(size, 8)]) + (size.astype(np.uint64) << np.uint64(56))
+    out = (eight[starts] & _MASK[np.minimum(size, 8)]) + (size.astype(np.uint64) << np.uint64(56)) + np.uint64(seed)
     out = mix(out)
     rest = np.flatnonzero((size > 8) & (size <= _LONG_WORD))
     at = 8
@@ -100,7 +100,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         at += 8
         rest = rest[size[rest] > at]
     for i in np.flatnonzero(size > _LONG_WORD):
-        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed)
     return out
 
 
