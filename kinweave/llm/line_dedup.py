@@ -11,7 +11,9 @@ and merged in the exact table. A key that was seen always hits, so nothing is mi
 
 The state of a shard is a filter and a table of (key, count, owner). ``insert`` adds documents and
 ``delete`` takes them away again: a key whose count falls to zero leaves table and filter, and where
-the owner went the next one is found among the documents that remain.
+the owner went the next one is found among the documents that remain. In one call a key counts each
+doc_id once, however many rows repeat it; a doc_id inserted by two calls counts twice, and goes by two deletions.
+A shard's table is read into one task, so ``n_shards`` has to grow with the number of distinct lines (40 bytes each).
 
 Null or empty texts are one empty line. Rows that repeat a doc_id are one document. A null doc_id
 sorts after all others, and all rows with a null doc_id are one document. An empty table gives an
@@ -34,6 +36,7 @@ DROP = np.dtype([("doc", "<i8"), ("a", "<u8"), ("b", "<u8")])
 _ENTRIES, _DROPS, _TABLE, _FILTER = 0, 1, 2, 3
 MIN_CHARS = 10
 _BUFFER = 1 << 20
+_CELL = 1 << 21  # entries to a binary cell of a stored state
 
 
 class CuckooFilter:
@@ -312,17 +315,35 @@ def _changed(sign: int):
                 table["count"] = count
                 filt.remove(table["a"][count <= 0])
                 table = table[count > 0]
-            yield words.plain(
-                ["shard", "kind", "data"],
-                [np.array([s, s], np.int32), np.array([_TABLE, _FILTER], np.int32), pa.array([table.tobytes(), filt.slots.tobytes()], pa.binary())],
-            )
+            yield from _stored(s, table, filt.slots.tobytes())
+
+    return run
+
+
+def _stored(shard: int, table: np.ndarray, slots: bytes):
+    """A shard's rows: its filter, and its table in cells of bounded size."""
+    cells = [table[i : i + _CELL].tobytes() for i in range(0, max(1, len(table)), _CELL)]
+    for kind, data in [(_FILTER, slots), *((_TABLE, c) for c in cells)]:
+        yield words.plain(["shard", "kind", "data"], [np.array([shard], np.int32), np.array([kind], np.int32), pa.array([data], pa.binary())])
+
+
+def _entries(n: int):
+    """Packs (a, b, doc_id) rows, each once, contracted by key."""
+
+    def run(batches):
+        for b in batches:
+            key = np.zeros(len(b), KEY)
+            for c in ("a", "b"):
+                key[c] = b.column(c).to_numpy().view(np.uint64)
+            entry, _ = _contract(b.column("doc_id").to_numpy(), key)
+            yield from shards.pack(entry, shards.shard_of(entry["a"], n), _ENTRIES, n)
 
     return run
 
 
 def _rolled(state: DataFrame | None, table: DataFrame, sign: int, n_shards: int, min_chars: int) -> DataFrame:
-    docs, send = shards.documents(table), _mapper(min_chars)
-    packed = docs.mapInArrow(lambda b: send(b, n_shards), STATE).filter(F.col("kind") == _ENTRIES)
+    # rows that repeat a doc_id are one document, wherever they stand, so a key counts each doc_id once
+    packed = holders(table, min_chars).distinct().mapInArrow(_entries(n_shards), STATE)
     if state is not None:
         packed = packed.unionByName(state.select("shard", "kind", "data"))
     return packed.repartitionById(n_shards, F.col("shard")).mapInArrow(_changed(sign), STATE)
@@ -364,10 +385,7 @@ def delete(state: DataFrame, gone: DataFrame, remaining: DataFrame, n_shards: in
                 table = both[last].copy()
                 table["owner"] = both["owner"][first]
             if _TABLE in own:
-                yield words.plain(
-                    ["shard", "kind", "data"],
-                    [np.array([s, s], np.int32), np.array([_TABLE, _FILTER], np.int32), pa.array([table.tobytes(), own[_FILTER][0]], pa.binary())],
-                )
+                yield from _stored(s, table, own[_FILTER][0])
 
     rows = left.unionByName(owners.mapInArrow(packed, STATE))
     return rows.repartitionById(n_shards, F.col("shard")).mapInArrow(owned, STATE)
