@@ -11,9 +11,9 @@ among the others, until none is above. A document's size is its number of words;
 none. The document at the cut gives only the words that are missing, so each source meets its
 budget, its target rounded to a whole number.
 
-Rows that repeat a doc_id are separate documents of one key. A null doc_id is a key of its own. An
-empty table gives an empty result; other columns are ignored. Keys are hashes of the seed and the
-doc_id alone, so reruns agree whatever the partitioning.
+Rows that repeat a doc_id, or have none, are separate documents. An empty table gives an empty
+result; other columns are ignored. Keys are hashes of the seed, the doc_id and the text alone, so reruns
+agree whatever the partitioning.
 
 The sources' totals are one row a source. Documents never gather by source: a bucket of the key
 range holds about ``bucket_rows`` of them.
@@ -31,6 +31,7 @@ from . import shards, words
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BUCKET_ROWS = 2048
+ROOM = 4096
 
 
 def _sizes(batches):
@@ -41,13 +42,18 @@ def _sizes(batches):
             _, _, index = words.word_bounds(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             out.append(np.diff(index))
         size = np.concatenate(out) if out else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(size, pa.int64())], ["doc_id", "source", "size"])
+        rest = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(size, pa.int64())], [*rest, "size"])
 
 
-def sizes(table: DataFrame) -> DataFrame:
-    """doc_id, source, size of every row."""
-    docs = table.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_sizes, "doc_id long, source string, size long")
+def sizes(table: DataFrame, row: str | None = None, seed: str = "mix") -> DataFrame:
+    """doc_id, source, key, row (the named column, or null) and size of every row."""
+    text = F.col("text").cast("string")
+    # the text too, as a doc_id may be null or stand for many rows, which then fall all over the key's range
+    key = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), F.sha2(F.coalesce(text, F.lit("")), 256))
+    own = (F.lit(None) if row is None else F.col(row)).cast("long").alias("row")
+    docs = table.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.sha2(key, 256).alias("key"), own, text.alias("text"))
+    return docs.mapInArrow(_sizes, "doc_id long, source string, key string, row long, size long")
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -73,35 +79,44 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return totals.withColumn("target", target).withColumn("budget", F.floor(F.col("target") + 0.5)).drop("weight", "cap")
 
 
-def mix(table: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, size, source_size, target, taken and source of every row."""
-    sized = shards.checkpointed(sizes(table))
+def _mixed(sized: DataFrame, weights: tuple[int, ...], most: int, bucket_rows: int) -> DataFrame:
     plan = shards.checkpointed(targets(sized, weights, most).withColumn("buckets", F.ceil(F.col("n") / bucket_rows)))
-    key = F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 256)
     part = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-    keyed = sized.withColumn("key", key).join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    keyed = sized.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     keyed = keyed.withColumn("bucket", F.floor(part * F.col("buckets") / F.lit(float(1 << 32))))
-    along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("own"))
-    sums = sums.withColumn("before_bucket", F.coalesce(F.sum("own").over(along), F.lit(0))).select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), "before_bucket")
+    # prefix sums in three levels, so that no task holds more than ROOM buckets, or runs of them, of a source
+    sums = shards.checkpointed(keyed.groupBy("source", "bucket").agg(F.sum("size").alias("own")).withColumn("run", F.floor(F.col("bucket") / ROOM)))
+    runs = sums.groupBy("source", "run").agg(F.sum("own").alias("own_run"))
+    before = lambda c, *by: F.coalesce(F.sum(c).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(F.col("source").alias("_source"), F.col("run").alias("_run"), before("own_run", "source", "run").alias("before_run"))
+    sums = sums.join(runs, F.col("source").eqNullSafe(F.col("_source")) & (F.col("run") == F.col("_run"))).drop("_source", "_run")
+    sums = sums.withColumn("before_bucket", F.col("before_run") + before("own", "source", "run", "bucket")).select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), "before_bucket")
     keyed = keyed.join(sums, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("before_bucket") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("before_bucket") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0)
     last = F.col("budget") - F.col("epochs") * F.col("source_size")
-    keyed = keyed.withColumn("epochs", epochs).withColumn("_before", before)
+    keyed = keyed.withColumn("epochs", epochs).withColumn("_before", start)
     taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(last - F.col("_before"), F.col("size")))
-    return keyed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
+    return keyed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "row")
+
+
+def mix(table: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """doc_id, size, source_size, target, taken and source of every row."""
+    return _mixed(shards.checkpointed(sizes(table, None, seed)), weights, most, bucket_rows).drop("row")
 
 
 def mixed_documents(table: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
     """The rows of the table of which the mix takes any words, with all its columns; a document taken k times stands k times.
 
     A document's repeats are its taken words over its size, rounded up, so one cut within the
-    document stands whole. Documents without words weigh nothing and stay once.
+    document stands whole. Documents without words weigh nothing and stay once. Rows are told apart by
+    all that they hold, not by their doc_id; rows that are the same as a whole share the largest of their repeats.
     """
-    out = mix(table, weights, most, seed)
-    times = F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.col("size"))).cast("int")
-    times = out.groupBy("doc_id").agg(F.max(times).alias("_times")).withColumnRenamed("doc_id", "_id")
-    rows = table.join(times, F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))).filter("_times > 0")
-    return rows.select(*[table[c] for c in table.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_epoch")).drop("_epoch")
+    rows, key = shards.with_row_key(table)
+    times = shards.fresh(rows, "_times")
+    out = _mixed(shards.checkpointed(sizes(rows, key, seed)), weights, most, BUCKET_ROWS)
+    repeats = F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.col("size"))).cast("int")
+    plan = out.groupBy(F.col("row").alias(key)).agg(F.max(repeats).alias(times)).filter(F.col(times) > 0)
+    kept = rows.join(plan, key).withColumn(times, F.sequence(F.lit(1), F.col(times)))
+    return kept.select(*[F.col(shards.quoted(c)) for c in table.columns], F.explode(times).alias(key)).drop(key)

@@ -27,7 +27,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 
 MIX = rf"""
 WITH s AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 t AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          CAST(list_extract([5, 2, 1], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)) AS BIGINT) AS w
@@ -46,7 +46,7 @@ b AS (
          CASE WHEN source_size > 0 THEN CAST(floor(target + 0.5) AS BIGINT) // source_size ELSE 0 END AS epochs FROM g),
 p AS (
   SELECT s.doc_id, s.size, b.source_size, b.target, b.budget, b.epochs,
-         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY sha256('mix:' || coalesce(CAST(s.doc_id AS VARCHAR), 'null')), s.size
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY sha256('mix:' || coalesce(CAST(s.doc_id AS VARCHAR), 'null') || ':' || sha256(coalesce(s.text, ''))), s.size
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM s JOIN b ON s.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target,
