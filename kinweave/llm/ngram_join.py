@@ -15,7 +15,7 @@ Candidates. Tiles give star edges, whose components are the groups in which all
 group, signed bitmaps (the parity of hashed shingles) bound the symmetric difference from below, that
 is the overlap from above; only pairs that pass are intersected exactly, array by array. Members
 already known to be connected are not compared again, so a group of n near copies costs about n
-comparisons. A group over ``group_rows`` is compared with its smallest member first, spread over
+comparisons. A group over ``group_rows`` documents, or as many times ``SHINGLES_A_ROW`` shingles, is compared with its smallest member first, spread over
 tasks; only members that don't link with that one are then compared with all, block by block.
 
 Copies of one set are linked inside the buffer that reads them and only one goes on, so a huge group
@@ -42,6 +42,7 @@ PAIR = np.dtype([("key", "<u8"), ("doc", "<i8")])
 EDGE = np.dtype([("a", "<i8"), ("b", "<i8")])
 _TILES, _LINKS, _SIZES = 0, 1, 2
 GROUP_ROWS = 4096
+SHINGLES_A_ROW = 1024
 _BAND = 1.5
 _LEAST = 9  # smaller sets link only when equal
 
@@ -314,7 +315,10 @@ def links(table: DataFrame, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, Da
     sizes = met.filter(F.col("kind") == _SIZES).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     same = met.filter(F.col("kind") == _LINKS).select("a", "b")
     groups = shards.checkpointed(connected_components(met.filter(F.col("kind") == _TILES).select("a", "b")))
-    count = groups.groupBy("root").agg(F.count("*").alias("n"))
+    # a group weighs its documents, or its shingles where those are many: a task holds group_rows * SHINGLES_A_ROW of them
+    size = sizes.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n_shingles").alias("_s"))
+    weight = F.greatest(F.count("*"), F.ceil(F.sum("_s") / SHINGLES_A_ROW))
+    count = shards.checkpointed(groups.join(size, "node").groupBy("root").agg(weight.alias("n")))
     groups = groups.join(count, "root").withColumnRenamed("node", "doc_id")
     source = docs.join(groups, "doc_id").select("doc_id", "root", "n", "text")
     small = source.filter(F.col("n") <= group_rows).mapInArrow(_with_sets, "doc_id long, root long, n long, shingles binary")
@@ -362,9 +366,9 @@ def representatives(table: DataFrame) -> DataFrame:
     Here every row is a node of its own, whatever its doc_id, so only the rows that are near copies
     go; a row that is repeated as a whole stays once.
     """
-    rows = shards.with_row_key(table)
-    _, found = links(rows.select(F.col("_row").alias("doc_id"), "text"))
-    parts = shards.checkpointed(connected_components(found).withColumnRenamed("node", "_row"))
-    ids = rows.select("_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(shards.NO_ID)).alias("id"))
-    best = parts.join(ids, "_row").groupBy("root").agg(F.min(F.struct("id", "_row")).alias("best"))
-    return shards.without(rows, parts.join(best.select("best._row"), "_row", "left_anti").select("_row"))
+    rows, key = shards.with_row_key(table)
+    _, found = links(rows.select(F.col(key).alias("doc_id"), "text"))
+    parts = shards.checkpointed(connected_components(found).withColumnRenamed("node", "row"))
+    ids = rows.select(F.col(key).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(shards.NO_ID)).alias("id"))
+    best = parts.join(ids, "row").groupBy("root").agg(F.min(F.struct("id", "row")).alias("best"))
+    return shards.without(rows, key, parts.join(best.select("best.row"), "row", "left_anti").select(F.col("row").alias("gone")))
