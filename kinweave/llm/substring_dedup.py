@@ -19,7 +19,7 @@ its anchor. Equal runs are contracted in the buffer that reads them. An anchor w
 ``HOT_HERE`` different runs in a buffer or ``HOT`` in all (a passage that very many documents share) is
 split by whole windows instead, contracted in the same way, and its shard hears of it by a single
 record from each buffer; so no group gathers in one task and nothing is capped. Runs and anchors
-are compared by hashes of 128 and 64 bits, the automata work on the words themselves.
+are compared by 128 and 64 bits of hashes of their words (runs by two polynomials over two seeds' word hashes), the automata work on the words themselves.
 
 Null and empty texts have no words. Runs, asks and spans are keyed by a 64-bit hash of doc_id and text,
 so different texts under a null or repeated doc_id have nothing to do with one another; rows that
@@ -48,6 +48,7 @@ ASK = np.dtype([("g", "<u8"), ("start", "<i4"), ("n", "<i2"), ("many", "<i1"), (
 ASKED = np.dtype([("doc", "<i8"), *ASK.descr])
 _RUNS, _SPANS, _WINDOWS, _ASKED = 0, 1, 2, 3
 _SIGN = -1
+_SEED = 0xD6E8FEB86659FD93
 
 
 def _smallest(x: np.ndarray, k: int) -> np.ndarray:
@@ -62,8 +63,8 @@ def _smallest(x: np.ndarray, k: int) -> np.ndarray:
     return at
 
 
-def find_runs(h: np.ndarray, index: np.ndarray, doc: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> np.ndarray:
-    """The runs of a block of hashed words."""
+def find_runs(h: np.ndarray, other: np.ndarray, index: np.ndarray, doc: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> np.ndarray:
+    """The runs of a block of words that are hashed by two seeds."""
     if len(h) < length:
         return np.zeros(0, RUN)
     grams = words.Grams(h)
@@ -78,8 +79,7 @@ def find_runs(h: np.ndarray, index: np.ndarray, doc: np.ndarray, length: int = L
     out = np.zeros(len(first), RUN)
     out["g"] = g[at[first]]
     out["r"] = grams.of(start, n + length - 1)
-    other = words.Grams(words.mix(h ^ np.uint64(0xD6E8FEB86659FD93)))
-    out["s"] = other.of(start, n + length - 1) + n.astype(np.uint64)
+    out["s"] = words.Grams(other).of(start, n + length - 1) + n.astype(np.uint64)
     out["doc"] = doc[row[start]]
     out["start"] = start - index[row[start]]
     out["n"] = n
@@ -141,8 +141,9 @@ def _send_runs(length: int, anchor: int):
 
         for batch in batches:
             doc = batch.column(0).to_numpy()
-            for i, index, h, *_ in words.hashed_words(batch.column(1), False):
-                held.append(find_runs(h, index, doc[i : i + len(index) - 1], length, anchor))
+            for i, index, h, starts, ends, data in words.hashed_words(batch.column(1), False):
+                other = words.word_hashes(data, starts, ends, _SEED)
+                held.append(find_runs(h, other, index, doc[i : i + len(index) - 1], length, anchor))
             if sum(x.nbytes for x in held) >= shards.FLUSH_BYTES:
                 yield from flush()
                 held = []
