@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.llm import exact_dedup, line_dedup, mixing, ngram_join, substring_dedup
 from tests.llm.common import SPACE, WORD, corpus, fold, frame
@@ -50,6 +51,31 @@ def test_line_state_is_reversible(spark):
     assert table(gone) == table(line_dedup.insert(None, frame(spark, new), n_shards=4))
 
 
+def test_line_state_counts_each_document_once(spark):
+    line = "the same line of boilerplate"
+    table = lambda s: sorted((r.owner, r["count"]) for r in line_dedup.entries(s).collect())
+    twice = frame(spark, [(1, line), (1, line + "\n" + line), (None, line), (None, line)], parts=4)
+    one = line_dedup.insert(None, twice, n_shards=2)
+    assert [n for _, n in table(one)] == [2]
+    two = line_dedup.insert(one, frame(spark, [(2, line), (2, line)], parts=2), n_shards=2)
+    assert table(two) == [(1, 3)]
+    left = line_dedup.delete(two, twice, frame(spark, [(2, line), (2, line)], parts=2), n_shards=2)
+    assert table(left) == [(2, 1)]
+    none = line_dedup.delete(left, frame(spark, [(2, line), (2, line)], parts=2), frame(spark, []), n_shards=2)
+    assert table(none) == []
+    again = line_dedup.delete(line_dedup.insert(two, twice, n_shards=2), twice, frame(spark, [(1, line), (2, line), (None, line)]), n_shards=2)
+    assert table(again) == table(two)
+
+
+def test_line_state_in_several_cells(spark, monkeypatch):
+    rows = [(i, f"line number {i}\na line that all hold") for i in range(40)]
+    whole = line_dedup.insert(None, frame(spark, rows), n_shards=2)
+    monkeypatch.setattr(line_dedup, "_CELL", 8)
+    cells = line_dedup.insert(line_dedup.insert(None, frame(spark, rows[:20]), n_shards=2), frame(spark, rows[20:]), n_shards=2)
+    table = lambda s: sorted(map(tuple, line_dedup.entries(s).collect()))
+    assert table(cells) == table(whole) and len(table(cells)) == 41
+
+
 def test_cuckoo_filter_holds_and_forgets():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 2**63, 50_000).astype(np.uint64))
@@ -77,6 +103,54 @@ def test_exact_matches_brute_force_even_when_fingerprints_collide(spark, options
     assert got == plain_exact(rows)
 
 
+@pytest.mark.parametrize("options", [{}, {"modulus": 101, "huge_chars": 50, "chunk": 16}])
+def test_exact_with_null_and_repeated_ids_of_different_texts(spark, options):
+    rows = [(None, f"text {i % 7}") for i in range(30)] + [(3, f"text {i % 5} ") for i in range(20)] + [(3, "alone"), (None, None), (4, "")]
+    got = exact_dedup.dedup(frame(spark, rows), **options).collect()
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[(t or "").replace(" ", "")].append((-len(t or ""), i is None, i))
+    want = [(i, min(g)[2], len(g), i == min(g)[2], hashlib.sha256(k.encode()).hexdigest()) for k, g in groups.items() for _, _, i in g]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+CLASHING = ["_kept", "_id", "_times", "_epoch", "_row", "_ROW_", "row", "group", "best", "gone", "keep_id", "root", "size", "taken", "a`b"]
+
+
+@pytest.mark.parametrize("run", [exact_dedup.kept_documents, ngram_join.representatives, mixing.mixed_documents])
+def test_stages_bear_columns_of_any_name(spark, run):
+    rows = corpus()[:40]
+    plain = frame(spark, rows)
+    extra = plain.select("doc_id", "text", "lang", "source", "n_chars", *[F.col("doc_id").alias(c) for c in CLASHING])
+    got, want = run(extra), run(plain.select("doc_id", "text", "lang", "source", "n_chars"))
+    assert got.columns == extra.columns
+    if run is not mixing.mixed_documents:  # whose random keys are those of whole rows
+        assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in want.collect())
+    assert all(r["_id"] == r.doc_id == r["_epoch"] == r["a`b"] for r in got.collect())
+
+
+def test_mixed_rows_of_null_and_repeated_ids_repeat_on_their_own(spark):
+    rows = [(None, "a b c " * (i + 1)) for i in range(30)] + [(5, "d e " * (i + 1)) for i in range(30)]
+    table = frame(spark, rows)
+    out = mixing.mix(table)
+    assert out.count() == len(rows)
+    plan = {r.source: (r.budget, r.source_size) for r in mixing.targets(mixing.sizes(table)).collect()}
+    taken = Counter()
+    for r in mixing.mixed_documents(table).collect():
+        taken[r.source] += len(r.text.split())
+    largest = max(len(t.split()) for _, t in rows)
+    for source, (budget, _) in plan.items():
+        assert budget <= taken[source] <= budget + largest
+
+
+def test_components_of_null_and_repeated_ids(spark):
+    text = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(1, text("a")), (None, text("a") + " end"), (None, text("b")), (7, text("c")), (7, text("d")), (2, text("d") + " end"), (9, text("e"))]
+    got = sorted(((r.doc_id, r.component_id) for r in ngram_join.components(frame(spark, rows)).collect()), key=str)
+    # a doc_id (or none) is one node that has the links of all its rows
+    assert got == sorted([(1, 1), (None, 1), (None, 1), (7, 2), (7, 2), (2, 2), (9, 9)], key=str)
+
+
 def test_fingerprints_compose():
     p = exact_dedup.prime()
     data = bytes(range(256)) * 50

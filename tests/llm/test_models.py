@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -71,6 +72,39 @@ def test_all_lists_without_tests_is_exact(spark, points):
     assert sorted(set(got)) == want_rows
 
 
+def test_scan_alone_finds_the_neighbours_of_the_tables(spark):
+    """Recall of the probed scan against brute force, on a table well above the travelling sample."""
+    rng = np.random.default_rng(5)
+    base = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    given = np.stack(base["embedding"].to_numpy()).astype(np.float32)
+    x = np.concatenate([given + rng.normal(0, 0.3 * given.std(), given.shape) for _ in range(6)]).astype(np.float32)
+    rows = [(i, v.tolist(), 0, 0.0, 0) for i, v in enumerate(x)]
+    table = vectors(spark, rows).repartition(8)
+    found = ann.search(table, table.filter(ann.hundredth())).toPandas()
+    hits = 0
+    for q, own in found.groupby("query_id"):
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(set(own["vec_id"]) & set(np.lexsort((np.arange(len(d)), d))[:10].tolist()))
+    assert len(found) == 10 * len(range(0, len(x), 100))
+    assert hits >= 0.95 * len(found)
+
+
+def test_queries_that_the_tests_leave_short_are_searched_again(spark, points):
+    table = vectors(spark, points[:40])
+    index = ann.fit(table, max_sample=1500)
+    got = ann.search(table, table.filter("vec_id < 3"), index=index, slack=-3.0).toPandas()  # tests that drop nearly all
+    want = exact(points[:40], [0, 1, 2])
+    assert {(r.query_id, r.vec_id) for r in got.itertuples()} == {(q, i) for q, rows in want.items() for _, i in rows}
+
+
+def test_unusable_vectors_do_not_hide_usable_ones(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAST_SAMPLE", 4)
+    rows = [(i, [math.nan] * 8, 0, 0.0, 0) for i in range(200)] + [(1000 + i, [float(i + j) for j in range(1, 9)], 0, 0.0, 0) for i in range(30)]
+    table = vectors(spark, rows)
+    assert ann.search(table, table.filter(ann.hundredth())).count() == 10
+
+
 def test_few_and_no_vectors(spark):
     few = vectors(spark, [(0, [1.0] * 4, 0, 0.0, 0), (1, [2.0] * 4, 0, 0.0, 0), (2, [1.5] * 4, 0, 0.0, 0)])
     assert [(r.vec_id, r["rank"]) for r in ann.search(few, few.filter("vec_id = 0")).orderBy("rank").collect()] == [(2, 1), (1, 2)]
@@ -265,6 +299,83 @@ def test_language_model_without_training_rows(spark):
     assert lm_mixing.score(frame(spark, []).limit(0)).count() == 0
 
 
+def plain_added(texts):
+    """The spans that the method adds, by the docstring: EM over vote patterns, a classifier on their chances; in plain loops."""
+    found = [pii.candidates(t or "") for t in texts]
+    pattern = Counter(c[4] for f in found for c in f)
+    codes = sorted(pattern)
+    vote, size, kind = pii._unpack(np.array(codes, np.int64))
+    soft = {}
+    for k in range(len(pii.KINDS)):
+        own = [i for i in range(len(codes)) if kind[i] == k]
+        rate = {1: [[0.1, 0.3, 0.6]] * pii.LABELERS, 0: [[0.6, 0.3, 0.1]] * pii.LABELERS}
+        start, prior, chance, old = rate, 0.5, {}, {}
+        for _ in range(100):
+            for i in own:
+                like = {c: (prior if c else 1 - prior) * math.prod(rate[c][j][vote[i, j] + 1] for j in range(pii.LABELERS)) for c in (0, 1)}
+                chance[i] = like[1] / (like[0] + like[1])
+            if all(abs(chance[i] - old.get(i, 0)) < 1e-10 for i in own):
+                break
+            old = dict(chance)
+            rate = {0: [], 1: []}
+            for c in (0, 1):
+                for j in range(pii.LABELERS):
+                    seen = [2 * start[c][j][v] + sum(pattern[codes[i]] * (chance[i] if c else 1 - chance[i]) for i in own if vote[i, j] + 1 == v) for v in range(3)]
+                    rate[c].append([x / sum(seen) for x in seen])
+            n = sum(pattern[codes[i]] for i in own)
+            prior = (sum(pattern[codes[i]] * chance[i] for i in own) + 1) / (n + 2)
+        soft |= chance
+    traits = []
+    for i in range(len(codes)):
+        row = [1.0] + [float(vote[i, j] == 1) for j in range(pii.LABELERS)] + [float(vote[i, j] == -1) for j in range(pii.LABELERS)]
+        traits.append(row + [float(size[i] == x) for x in range(5)] + [float(kind[i] == x) for x in range(len(pii.KINDS))])
+    x, n, y = np.array(traits), np.array([pattern[c] for c in codes], float), np.array([soft[i] for i in range(len(codes))])
+    n /= max(1.0, n.mean())
+    w = np.zeros(x.shape[1])
+    for _ in range(40_000):  # plain gradient descent to the same minimum
+        w -= 0.5 * (x.T @ (n * (1 / (1 + np.exp(-x @ w)) - y)) + 1e-2 * w) / n.sum()
+    chance = dict(zip(codes, (1 / (1 + np.exp(-x @ w))).tolist(), strict=True))
+    return [sorted((k, a, b) for k, a, b, base, code in f if not base and chance[code] >= 0.5) for f in found], chance
+
+
+def test_added_spans_are_those_of_plain_em_and_descent(spark):
+    rng = random.Random(1)
+    rows = []
+    for i in range(300):
+        digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+        text = rng.choice([
+            f"mail me: joe{i} (at) site (dot) com", f"call {digits(3)} {digits(3)} {digits(4)} please", f"+49 30 {digits(7)}", f"order {digits(3)} {digits(3)} {digits(4)}",
+            f"a.b@site{i}.org and 10.0.0.{i % 256}", f"card 4{digits(15)}", f"serial {digits(14)}", "host fe80:0:0:0:1:2:3:4 up", "nothing here",
+        ])
+        rows.append((i, text))
+    want, chance = plain_added([t for _, t in rows])
+    assert all(abs(c - 0.5) > 0.01 for c in chance.values())
+    got = {r.doc_id: r for r in pii.find(frame(spark, rows)).collect()}
+    for (i, _), added in zip(rows, want, strict=True):
+        every, base = (sorted(x.split(",")) if x else [] for x in (got[i].spans, got[i].base))
+        assert sorted(f"{k}:{a}:{b}" for k, a, b in added) == sorted(set(every) - set(base))
+    assert any(want)
+
+
+LONG = 1_000_000
+VERY_LONG = {
+    "letters": "a" * LONG + "@b.c", "digits": "1" * LONG, "dots": "1." * (LONG // 2), "ats": "@a.b " * (LONG // 5), "signs": "@" * LONG, "plus": "+1" + "(" * LONG,
+    "pluses": "+1 " * (LONG // 3), "spelt": "a" * LONG + " (at) b", "cards": "4111 1111 1111 1112 " * (LONG // 20), "phones": "030 123 4567, " * (LONG // 14),
+    "colons": "a:" * (LONG // 2), "dashes": "-" * LONG, "domains": "x@" + "a." * (LONG // 2), "mails": "a@b.c " * (LONG // 6), "brackets": "x(at)" * (LONG // 5),
+}
+
+
+@pytest.mark.parametrize("name", sorted(VERY_LONG))
+def test_personal_data_takes_linear_time(name):
+    took = []
+    for part in (4, 1):
+        text = VERY_LONG[name][-LONG // part :]
+        began = time.perf_counter()
+        pii.candidates(text)
+        took.append(time.perf_counter() - began)
+    assert took[1] < max(1.0, 12 * took[0]) and took[1] < 20
+
+
 # --- toxicity ---
 
 
