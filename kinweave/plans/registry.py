@@ -69,30 +69,49 @@ def _judged(spark, d, yes: float = YES_FROM, no: float = NO_BELOW) -> DataFrame:
     return jobs.band_judge(yes, no)(_top(spark, d))
 
 
+def _judged_twice(spark, d, yes: float = 0.35, no: float = 0.31) -> tuple[DataFrame, DataFrame]:
+    """The judgements and others by other bounds, from one pass over the pairs."""
+    top = graph.checkpointed(_top(spark, d))
+    return jobs.band_judge(YES_FROM, NO_BELOW)(top), jobs.band_judge(yes, no)(top)
+
+
+def _shared(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(candidates, judgements) from one pass over the pairs."""
+    band = graph.checkpointed(_band(spark, d))
+    return band, jobs.band_judge(YES_FROM, NO_BELOW)(jobs.ranked(band, CFG))
+
+
 def _edges(spark, d) -> DataFrame:
     return _pairs(spark, d, CFG.t_auto).select("pair_key", F.col("master_a_id").alias("m1"), F.col("master_b_id").alias("m2"))
 
 
-def _approvals(spark, d) -> DataFrame:
+def _approvals(judged: DataFrame) -> DataFrame:
     """Queue rows of every third focal are approved, of every sixth after notes."""
     number = F.col("focal_master_id").cast("long")
-    rows = review.queue(_judged(spark, d), CFG)
+    rows = review.queue(judged, CFG)
     return rows.withColumns({"status": F.when(number % 3 == 0, "APPROVED").otherwise("QUEUED"), "decision": F.when(number % 6 == 0, "HUMAN_APPROVED_AFTER_NOTES")})
 
 
-def _gate(spark, d) -> DataFrame:
+def _gate(judged: DataFrame) -> DataFrame:
     """Judged pairs: the admin rejects every fifth focal and approves every seventh that isn't."""
     number = F.col("focal_master_id").cast("long")
     action = F.when(number % 5 == 0, "REJECT").when(number % 7 == 0, "APPROVE")
-    return _judged(spark, d).select("pair_key", action.alias("action")).filter("action IS NOT NULL")
+    return judged.select("pair_key", action.alias("action")).filter("action IS NOT NULL")
 
 
 def _draft(spark, d) -> DataFrame:
-    return proposals.draft(_band(spark, d), _judged(spark, d), _approvals(spark, d))
+    band, judged = _shared(spark, d)
+    return proposals.draft(band, judged, _approvals(judged))
+
+
+def _final_and_gate(spark, d) -> tuple[DataFrame, DataFrame]:
+    band, judged = _shared(spark, d)
+    gate = _gate(judged)
+    return proposals.admin_gate(proposals.draft(band, judged, _approvals(judged)), gate), gate
 
 
 def _final(spark, d) -> DataFrame:
-    return proposals.admin_gate(_draft(spark, d), _gate(spark, d))
+    return _final_and_gate(spark, d)[0]
 
 
 def _chains(spark, d) -> DataFrame:
@@ -381,7 +400,7 @@ def _judge_again(rows: DataFrame) -> DataFrame:
 @_query
 def d08_rerun(spark, d):
     """All stored answers around some focals, judged again with notes, and what that makes of the queue."""
-    judged = _judged(spark, d)
+    judged = graph.checkpointed(_judged(spark, d))
     stored = jobs.results(judged).withColumn("run_id", F.lit("1"))
     older = jobs.results(judged.withColumn("score", F.lit(0.0))).withColumns({"run_id": F.lit("0"), "decided_at": F.lit(None).cast("timestamp")})
     cfg = CFG.with_(rerun_scope="component", rerun_focals=("0", "20", "40", "60", "80"), global_notes="everyone", focal_notes={"20": "look twice", "31": "look once"}, auto_approve_confidence=0.70)
@@ -394,7 +413,7 @@ def d08_rerun(spark, d):
 @_query
 def d08_rerun_notes(spark, d):
     """Notes by precedence around some focals."""
-    judged = _judged(spark, d)
+    judged = graph.checkpointed(_judged(spark, d))
     number = F.col("focal_master_id").cast("long")
     chosen = judged.filter(number % 20 == 0).select(F.col("focal_master_id").alias("id"))
     rows = judged.join(jobs.seeded(judged, chosen, "focal_master_id", "candidate_master_id").withColumnRenamed("id", "focal_master_id"), "focal_master_id", "left_semi")
@@ -410,8 +429,8 @@ def d09_review_queue(spark, d):
 
 @_query
 def d10_rerun_updates(spark, d):
-    rerun = _judged(spark, d, 0.35, 0.31)
-    queued = review.queue(_judged(spark, d), CFG).select("pair_key", F.lit("ann").alias("reviewer"), F.lit("see").alias("notes"), F.lit(1).alias("enqueued_at"))
+    judged, rerun = _judged_twice(spark, d)
+    queued = review.queue(judged, CFG).select("pair_key", F.lit("ann").alias("reviewer"), F.lit("see").alias("notes"), F.lit(1).alias("enqueued_at"))
     cfg = CFG.with_(auto_approve_confidence=0.72)
     return review.rerun_updates(rerun, queued, cfg).select("pair_key", "llm_decision", "status", "decision", "reviewer", "notes")
 
@@ -424,12 +443,12 @@ def d11_decision_updates(spark, d):
 
 @_query
 def d23_decision_changes(spark, d):
-    return review.decision_changes(_judged(spark, d), _judged(spark, d, 0.35, 0.31))
+    return review.decision_changes(*_judged_twice(spark, d))
 
 
 def _diff(spark, d) -> DataFrame:
-    after = _judged(spark, d, 0.35, 0.31).filter(F.col("focal_master_id").cast("long") % 2 == 0)
-    return review.rerun_diff(_judged(spark, d), after)
+    before, after = _judged_twice(spark, d)
+    return review.rerun_diff(before, after.filter(F.col("focal_master_id").cast("long") % 2 == 0))
 
 
 @_query
@@ -447,7 +466,7 @@ def d27_flat_decisions(spark, d):
 
 
 def _human(spark, d) -> DataFrame:
-    judged = _judged(spark, d)
+    judged = graph.checkpointed(_judged(spark, d))
     number = F.col("focal_master_id").cast("long")
     return review.human_decisions(judged, judged.filter(number % 4 == 0), judged.filter(number % 6 == 0))
 
@@ -506,7 +525,7 @@ def d14_preview(spark, d):
 
 @_query
 def d15_decision_ledger(spark, d):
-    rows = proposals.decision_rows(_final(spark, d), _gate(spark, d))
+    rows = proposals.decision_rows(*_final_and_gate(spark, d))
     return _r6(rows.select("pair_key", "source", "score", "reason", "decision"), "score")
 
 
@@ -568,29 +587,26 @@ def g04_seeded_component(spark, d):
 
 @_query
 def g05_scope_filter(spark, d):
-    related = _edges(spark, d).select(F.col("m1").alias("master_a_id"), F.col("m2").alias("master_b_id"))
+    band = graph.checkpointed(_band(spark, d))
+    related = band.filter(F.col("score") >= CFG.t_auto).select("master_a_id", "master_b_id")
     out = None
     for scope in ("all", "foci", "foci_related"):
-        own = jobs.scoped(_band(spark, d), scope, _seeds(spark, d), related).select(F.lit(scope).alias("scope"), "pair_key")
+        own = jobs.scoped(band, scope, _seeds(spark, d), related).select(F.lit(scope).alias("scope"), "pair_key")
         out = own if out is None else out.unionByName(own)
     return out
 
 
 @_query
 def g06_queue_component(spark, d):
-    queued = review.queue(_judged(spark, d), CFG)
+    queued = graph.checkpointed(review.queue(_judged(spark, d), CFG))
     reached = jobs.seeded(queued, _seeds(spark, d), "focal_master_id", "candidate_master_id")
     return reached.intersect(queued.select(F.col("focal_master_id").alias("id")))
 
 
-def _yes(spark, d) -> DataFrame:
-    return _judged(spark, d).filter("llm_decision = 'YES'")
-
-
 @_query
 def g07_affected_accounts(spark, d):
-    changes = review.decision_changes(_judged(spark, d), _judged(spark, d, 0.36, 0.33))
-    return review.affected_accounts(changes, _yes(spark, d))
+    judged, moved = _judged_twice(spark, d, 0.36, 0.33)
+    return review.affected_accounts(review.decision_changes(judged, moved), judged.filter("llm_decision = 'YES'"))
 
 
 @_query
@@ -709,7 +725,8 @@ def _vector_accounts(spark, d) -> DataFrame:
 @_query
 def d37_full_cycle(spark, d):
     """One cycle over vectors as accounts named by their id: exact groups, stored embeddings, judging, approvals, admin, gold."""
-    state = {"review_queue": _approvals(spark, d), "admin_gate": _gate(spark, d)}
+    judged = _judged(spark, d)
+    state = {"review_queue": _approvals(judged), "admin_gate": _gate(judged)}
     judge = jobs.band_judge(YES_FROM, NO_BELOW)
     out = cycle.run_cycle(_vector_accounts(spark, d), CFG.with_(keep_rejected=False), jobs.Stored(_vectors(spark, d)), judge, state)
     return out["gold"].select("account_id", "group_size", "is_dupe")
@@ -816,8 +833,9 @@ def v02_rejudge_focal(spark, d):
 
 @_query
 def v08_change_preview(spark, d):
-    changes = review.decision_changes(_judged(spark, d), _judged(spark, d, 0.36, 0.33))
-    return report.change_preview(changes, review.affected_accounts(changes, _yes(spark, d)), match.perfect_match(_vector_accounts(spark, d)))
+    judged, moved = _judged_twice(spark, d, 0.36, 0.33)
+    changes = review.decision_changes(judged, moved)
+    return report.change_preview(changes, review.affected_accounts(changes, judged.filter("llm_decision = 'YES'")), match.perfect_match(_vector_accounts(spark, d)))
 
 
 @_query
@@ -876,7 +894,7 @@ def a09_last_adjustment(spark, d):
 
 @_query
 def o06_change_summary(spark, d):
-    return report.change_summary(review.decision_changes(_judged(spark, d), _judged(spark, d, 0.35, 0.31)))
+    return report.change_summary(review.decision_changes(*_judged_twice(spark, d)))
 
 
 @_query

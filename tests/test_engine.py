@@ -92,6 +92,18 @@ def test_review_predicate(spark):
     assert df.filter(review.needs_review(Config()) != (F.col("want") == 1)).count() == 0
 
 
+@pytest.mark.parametrize("small", [0, 3, 1000])
+def test_components_by_either_way(spark, small):
+    rng = np.random.default_rng(small)
+    rows = [(int(x), int(y)) for x, y in rng.integers(0, 60, (40, 2))]
+    edges = spark.createDataFrame([*rows, (5, None), (99, 99)], "a long, b long").repartition(3)
+    root = {x: x for r in rows for x in r} | {99: 99}
+    for _ in range(60):
+        for x, y in rows:
+            root[x] = root[y] = min(root[x], root[y])
+    assert {(r.node, r.root) for r in graph.connected_components(edges, small=small).collect()} == set(root.items())
+
+
 def test_components(spark):
     edges = spark.createDataFrame([("c", "b"), ("b", "a"), ("x", "y"), ("s", "s"), ("n", None)], "m1 string, m2 string")
     assert {(r.node, r.root) for r in graph.connected_components(edges, "m1", "m2").collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x"), ("s", "s")}
