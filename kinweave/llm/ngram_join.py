@@ -314,7 +314,7 @@ def links(table: DataFrame, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, Da
     met = shards.checkpointed(shards.exchange(docs, _tiles, _met, "kind int, a long, b long"))
     sizes = met.filter(F.col("kind") == _SIZES).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     same = met.filter(F.col("kind") == _LINKS).select("a", "b")
-    groups = shards.checkpointed(connected_components(met.filter(F.col("kind") == _TILES).select("a", "b")))
+    groups = shards.checkpointed(connected_components(met.filter(F.col("kind") == _TILES).select("a", "b"), small=0))
     # a group weighs its documents, or its shingles where those are many: a task holds group_rows * SHINGLES_A_ROW of them
     size = sizes.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n_shingles").alias("_s"))
     weight = F.greatest(F.count("*"), F.ceil(F.sum("_s") / SHINGLES_A_ROW))
@@ -338,7 +338,7 @@ def _large(source: DataFrame, n: int, group_rows: int) -> DataFrame:
     hub = hub.select("root", "blocks", F.col("doc_id"), "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     star = hub.select("root", "block", "doc_id", F.lit(True).alias("asks"), "shingles").unionByName(sets.select("root", "block", "doc_id", F.lit(False).alias("asks"), "shingles"))
     first = shards.checkpointed(_links(star.withColumn("tile", F.xxhash64("root", "block")), n))
-    known = connected_components(first).join(sets.select(F.col("root").alias("hub")).distinct(), F.col("root") == F.col("hub"), "left_semi")
+    known = connected_components(first, small=0).join(sets.select(F.col("root").alias("hub")).distinct(), F.col("root") == F.col("hub"), "left_semi")
     odd = sets.join(known.select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
     odd = shards.checkpointed(odd.select("root", "block", "blocks", "doc_id", "shingles"))
     if odd.isEmpty():
@@ -355,7 +355,7 @@ def _large(source: DataFrame, n: int, group_rows: int) -> DataFrame:
 def components(table: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     sizes, found = links(table, group_rows)
-    parts = connected_components(found).withColumnRenamed("node", "doc_id")
+    parts = connected_components(found, small=0).withColumnRenamed("node", "doc_id")
     out = sizes.join(parts, "doc_id", "left")
     return out.select(shards.real_id(), "n_shingles", F.nullif(F.coalesce("root", "doc_id"), F.lit(shards.NO_ID)).alias("component_id"))
 
@@ -368,7 +368,7 @@ def representatives(table: DataFrame) -> DataFrame:
     """
     rows, key = shards.with_row_key(table)
     _, found = links(rows.select(F.col(key).alias("doc_id"), "text"))
-    parts = shards.checkpointed(connected_components(found).withColumnRenamed("node", "row"))
+    parts = shards.checkpointed(connected_components(found, small=0).withColumnRenamed("node", "row"))
     ids = rows.select(F.col(key).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(shards.NO_ID)).alias("id"))
     best = parts.join(ids, "row").groupBy("root").agg(F.min(F.struct("id", "row")).alias("best"))
     return shards.without(rows, key, parts.join(best.select("best.row"), "row", "left_anti").select(F.col("row").alias("gone")))

@@ -31,7 +31,7 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its number of tokens, digests of the ids and of the decoded text, and whether that is the text."""
+    """Per document: its number of tokens, digests of the ids and of the text that is decoded from them."""
     documents = _read(spark, sf_dir, "documents")
     out = pieces.decode(pieces.encode(documents))
     digest = F.sha2(F.col("text").cast("binary"), 256)
