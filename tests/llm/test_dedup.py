@@ -238,6 +238,21 @@ def test_jaccard_matches_brute_force(spark, group_rows):
     assert got == plain_components(rows)
 
 
+def test_groups_of_long_texts_are_split_by_their_shingles(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SHINGLES_A_ROW", 50)
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(3):
+        body = [f"w{g}x{i}" for i in range(1200)]
+        for k in range(9):
+            own = list(body)
+            for at in rng.integers(0, 1200, 4 + 30 * (k % 3 == 2)):
+                own[at] = f"c{g}{k}{at}"
+            rows.append((g * 100 + k, " ".join(own)))
+    got = sorted(map(tuple, ngram_join.components(frame(spark, rows), 8).collect()))
+    assert got == sorted(plain_components(rows))
+
+
 def test_no_pair_escapes_the_tiles():
     rng = np.random.default_rng(5)
     for size in [*range(1, 60), 100, 333, 1000]:

@@ -264,6 +264,38 @@ def test_unigram_base_and_counts(spark):
         assert r.score < 0
 
 
+def test_language_model_with_null_and_repeated_ids(spark):
+    rows = [(None, f"alpha beta w{i}") for i in range(6)] + [(7, f"gamma w{i} alpha") for i in range(6)] + [(3, "x " * 200), (7, None), (None, ""), (None, "alpha beta w1")]
+    train = [t for i, t in rows if zlib.crc32(str("" if i is None else i).encode()) % 7 != 2]
+    seen = Counter(w for t in train for w in [*WORD.findall(fold(t or "")), "\n"])
+    total, distinct = sum(seen.values()), len(seen)
+    want = []
+    for i, t in rows:
+        own = [*WORD.findall(fold(t or "")), "\n"]
+        base = sum(math.log10((seen[w] + 1) / (total + distinct + 1)) for w in own)
+        want.append((str(i), len(own), sum(seen[w] > 0 for w in own), round(base, 6)))
+    for head in (lm_mixing.HEAD, 3):  # with rare words met by the shuffle too
+        out = lm_mixing.score(frame(spark, rows), head).collect()
+        assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in out) == sorted(want)
+        assert {r.train_tokens for r in out} == {total}
+
+
+def test_every_training_text_teaches(spark, monkeypatch):
+    """Dealt into lessons, each distinct row stands in one of its own half."""
+    texts = [f"text {i}" for i in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(50), *range(50)], pa.int64()), pa.array(texts * 2)], ["doc_id", "text"])
+    out = pa.Table.from_batches(list(lm_mixing._dealt(3)(iter([batch])))).to_pylist()
+    assert sorted(r["text"] for r in out) == sorted(texts)
+    assert all(r["lesson"] % 2 == (r["key"] & 1) and 0 <= r["lesson"] < 6 for r in out)
+
+
+def test_held_out_bits_a_byte_of_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    size = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    bits, size = lm_mixing.score(docs).filter("held_out").join(size, "doc_id").agg(F.sum("score") * -math.log2(10), F.sum("size")).first()
+    assert bits / size < 4.05  # 2.25 on the ten times larger table
+
+
 def test_model_is_a_probability_and_learns_order(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(("aa bb cc", "dd ee ff gg")) for _ in range(60))) for i in range(400)]
@@ -537,6 +569,15 @@ def test_words_of_toxic_texts_alone_are_kept(spark, texts, size):
     assert (scores_of(model, rude) > 0).all()
 
 
+def test_rows_are_scored_one_by_one_whatever_their_id(spark):
+    rows = [(i, f"calm{i % 7} t{i} text {'vile' if i % 3 == 0 else 'kind'} end") for i in range(1, 200)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(frame(spark, rows), labels)
+    odd = [(None, "vile vile"), (None, "kind"), (4, "vile vile"), (4, "kind"), (4, "kind"), (None, None)]
+    out = sorted((str(r.doc_id), r.predicted) for r in toxicity.score(frame(spark, odd), model).collect())
+    assert out == sorted([("None", 1), ("None", 0), ("4", 1), ("4", 0), ("4", 0), ("None", 0)])
+
+
 def test_toxicity_without_labels(spark):
     table = frame(spark, [(1, "a"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
