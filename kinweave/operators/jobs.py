@@ -241,10 +241,11 @@ def rerun_rows(judged: DataFrame, cfg: Config) -> DataFrame:
     return out
 
 
-def rejudge(stored: DataFrame, context: DataFrame, cfg: Config, judge_: Judge | Callable[[DataFrame], DataFrame]) -> DataFrame:
+def rejudge(stored: DataFrame, context: DataFrame, cfg: Config, judge_: Judge | Callable[[DataFrame], DataFrame], focal_notes: DataFrame | None = None) -> DataFrame:
     """New judgements of the pairs of all stored results that the rerun covers, with the notes that apply to them.
 
-    Of a pair that was judged several times the last answer is taken. context: id and its columns; pairs
+    Of a pair that was judged several times the last answer is taken. focal_notes: focal_master_id and note, one a
+    focal, where the configuration has none. context: id and its columns; pairs
     of which either master isn't there any more are left out. A focal's pairs are one request, whose context
     holds the different notes of its pairs, a line each.
     """
@@ -255,7 +256,11 @@ def rejudge(stored: DataFrame, context: DataFrame, cfg: Config, judge_: Judge |
     for side in ("focal", "candidate"):
         rows = rows.join(context.select(F.col("id").alias(f"{side}_master_id"), *[F.col(c).alias(f"{side}_{c}") for c in names]), f"{side}_master_id")
     given = lambda m, key: spark.createDataFrame(sorted(m.items()), f"{key} string, note string") if m else None
-    rows = notes_for(rows, given(cfg.pair_notes, "pair_key"), given(cfg.focal_notes, "focal_master_id"), cfg.global_notes)
+    own = given(cfg.focal_notes, "focal_master_id")
+    if focal_notes is not None:
+        rest = focal_notes.select("focal_master_id", "note")
+        own = rest if own is None else own.unionByName(rest.join(own.select("focal_master_id"), "focal_master_id", "left_anti"))
+    rows = notes_for(rows, given(cfg.pair_notes, "pair_key"), own, cfg.global_notes)
     asked = rows.withColumnsRenamed({"focal_master_id": "master_a_id", "candidate_master_id": "master_b_id"})
     if hasattr(judge_, "judge"):
         one = F.struct("candidate_master_id", "score", *[f"candidate_{c}" for c in names])

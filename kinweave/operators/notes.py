@@ -22,6 +22,13 @@ def _joined(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["note"]), " | ").alias("guidance"))
 
 
+def everyone(notes: DataFrame, order: list[str]) -> DataFrame:
+    """guidance: one row with the global notes as a line, null without any."""
+    rows = notes.filter((F.col("scope") == GLOBAL) & (F.trim(F.coalesce("note", F.lit(""))) != ""))
+    out = _joined(rows, [], order).select(F.nullif("guidance", F.lit("")).alias("guidance"))
+    return out.select(F.concat(F.lit("Global guidance: "), "guidance").alias("guidance"))
+
+
 def render(notes: DataFrame, order: list[str]) -> DataFrame:
     """focal_master_id, context: the global guidance, then the focal's own, a line each; blanks are skipped."""
     rows = notes.filter("trim(coalesce(note, '')) <> ''")

@@ -138,13 +138,15 @@ class Service:
 
     def rerun(self, cfg: Config, params: Mapping[str, Any]) -> dict[str, DataFrame]:
         """Judges pairs of all stored results again, with the stored notes, those of the parameters first."""
-        stored = notes.render(self.table("notes"), ["added_at"])
-        own = {r["focal_master_id"]: r["context"] for r in stored.collect()} if params.get("use_stored_notes") else {}  # people's notes: one text a focal
-        cfg = cfg.with_(focal_notes={**own, **cfg.focal_notes})
+        focal = None
+        if params.get("use_stored_notes"):
+            kept = self.table("notes")
+            focal = notes.render(kept, ["added_at"]).withColumnRenamed("context", "note")
+            cfg = cfg.with_(global_notes=cfg.global_notes or notes.everyone(kept, ["added_at"]).first()["guidance"])  # one row
         judge = self.judge or jobs.band_judge(cfg.t_auto - 0.05, cfg.t_low + 0.05)
         # the rerun's own rows of an earlier attempt don't count
         stored = self.table("llm_results").filter(~((F.col("run_id") == cfg.run_id) & (F.col("step") == "RERUN_ONLY")))
-        judged = checkpointed(jobs.rejudge(stored, self._names(cfg), cfg, judge))
+        judged = checkpointed(jobs.rejudge(stored, self._names(cfg), cfg, judge, focal))
         out = {"llm_results": self._write(jobs.results(judged, config.PROMPT_WITH_CONTEXT, cfg.model), "llm_results", cfg, "RERUN_ONLY")}
         rows = jobs.exploded(out["llm_results"])
         queue = self.table("review_queue").filter(~((F.col("run_id") == cfg.run_id) & (F.col("step") == "RERUN_ONLY")))

@@ -332,6 +332,10 @@ def test_rerun_between_tables(spark, tmp_path):
     assert out["llm_results"].first().token_usage_json == '{"asked": 1}' and not asked
     gold = own.run("FINALIZE", {**params, "FINALIZE": True})
     assert {(r.account_id, r.group_size) for r in gold["gold"].collect()} == {("a1", 1), ("a6", 1), ("d1", 2)}
+    own.run("NOTES", {**params, "notes": [{"scope": "GLOBAL", "note": "be kind"}, {"scope": "FOCAL", "focal_master_id": "a1", "note": "!no"}]})
+    later = own.run("RERUN_ONLY", {**params, "RUN_ID": "s", "use_stored_notes": True})
+    used = {r.pair_key: r.context_used for r in later["review_queue"].collect()}
+    assert used == {"a1|a6": "Global guidance: be kind\nFocal a1 guidance: no", "d1|d2": "Global guidance: be kind"}
     assert {r.source for r in gold["decisions"].collect()} == {"HUMAN_NOTES_AUTO_APPROVED"}
 
 
