@@ -65,16 +65,17 @@ def normalised(text: str | None) -> bytes:
 
 
 def _prints(modulus: int):
-    names = ["doc_id", "fingerprint", "n_bytes", "n_chars", "text_sha256"]
+    names = ["doc_id", "hash", "fingerprint", "n_bytes", "n_chars", "text_sha256"]
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            texts = batch.column("text")
             data = [normalised(t) for t in texts.to_pylist()]
             found = [fingerprint(d, modulus) for d in data]
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids,
+                    batch.column("doc_id"),
+                    batch.column("hash"),
                     pa.array([x.to_bytes(16, "big") for x, _ in found], pa.binary()),
                     pa.array([n for _, n in found], pa.int64()),
                     pc.fill_null(pc.utf8_length(texts), 0).cast(pa.int64()),
@@ -86,7 +87,7 @@ def _prints(modulus: int):
     return run
 
 
-_PRINTS = "doc_id long, fingerprint binary, n_bytes long, n_chars long, text_sha256 string"
+_PRINTS = "doc_id long, hash long, fingerprint binary, n_bytes long, n_chars long, text_sha256 string"
 
 
 def _chunk_prints(modulus: int):
@@ -106,24 +107,28 @@ def _combined(modulus: int):
             parts[number] = (int.from_bytes(x, "big"), n)
         for number in sorted(parts):
             out = combine(out, parts[number], modulus)
-        row = {"doc_id": key[0], "fingerprint": pa.scalar(out[0].to_bytes(16, "big"), pa.binary()), "n_bytes": pa.scalar(out[1], pa.int64()), "n_chars": chunks["n_chars"][0], "text_sha256": chunks["text_sha256"][0]}
+        row = {"doc_id": key[0], "hash": chunks["hash"][0], "fingerprint": pa.scalar(out[0].to_bytes(16, "big"), pa.binary()), "n_bytes": pa.scalar(out[1], pa.int64()), "n_chars": chunks["n_chars"][0], "text_sha256": chunks["text_sha256"][0]}
         same = len(chunks) // len(parts)  # rows that repeat doc_id and text
         return pa.table({k: pa.repeat(v, same) for k, v in row.items()})
 
     return run
 
 
+def _hash():
+    return F.xxhash64(F.col("text").cast("string")).alias("hash")
+
+
 def fingerprints(table: DataFrame, modulus: int | None = None, huge_chars: int = HUGE_CHARS) -> DataFrame:
-    """doc_id, fingerprint, n_bytes, n_chars and SHA-256 of every row; texts over huge_chars are hashed chunk by chunk in parallel."""
+    """doc_id, hash of the text as it is, fingerprint, n_bytes, n_chars and SHA-256 of every row; texts over huge_chars are hashed chunk by chunk in parallel."""
     modulus = modulus or prime()
-    docs = shards.documents(table)
+    docs = shards.documents(table, _hash())
     long = F.coalesce(F.length("text") > huge_chars, F.lit(False))
     usual = docs.filter(~long).mapInArrow(_prints(modulus), _PRINTS)
     n = F.ceil(F.length("text") / huge_chars).cast("int")
-    huge = docs.filter(long).select("doc_id", F.sha2("text", 256).alias("mark"), F.length("text").cast("long").alias("n_chars"), _sha().alias("text_sha256"), "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
+    huge = docs.filter(long).select("doc_id", "hash", F.sha2("text", 256).alias("mark"), F.length("text").cast("long").alias("n_chars"), _sha().alias("text_sha256"), "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
     part = F.substring("text", F.col("chunk") * huge_chars + 1, F.lit(huge_chars)).alias("part")
-    chunks = huge.select("doc_id", "mark", "n_chars", "text_sha256", "chunk", part).repartition("mark", "chunk")
-    chunks = chunks.mapInArrow(_chunk_prints(modulus), "doc_id long, mark string, n_chars long, text_sha256 string, chunk int, fingerprint binary, n_bytes long")
+    chunks = huge.select("doc_id", "hash", "mark", "n_chars", "text_sha256", "chunk", part).repartition("mark", "chunk")
+    chunks = chunks.mapInArrow(_chunk_prints(modulus), "doc_id long, hash long, mark string, n_chars long, text_sha256 string, chunk int, fingerprint binary, n_bytes long")
     return usual.unionByName(chunks.groupBy("doc_id", "mark").applyInArrow(_combined(modulus), _PRINTS))
 
 
@@ -170,10 +175,9 @@ def _sha(text: str = "text"):
 
 
 def collisions(table: DataFrame, members: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
-    """The groups (fingerprint, length) of members whose texts aren't all equal; members: doc_id, text_sha256, group, each once."""
+    """The groups (fingerprint, length) of members whose texts aren't all equal; members: doc_id, hash, group, each once."""
     # a row meets its own group by doc_id and text, as a doc_id may be null or stand for several texts
-    docs = shards.documents(table).withColumn("text_sha256", _sha())
-    copies = docs.join(members, ["doc_id", "text_sha256"]).select("doc_id", "text", "group")
+    copies = shards.documents(table, _hash()).join(members, ["doc_id", "hash"]).select("doc_id", "text", "group")
     parts = copies.mapInArrow(lambda b: _pieces(b, chunk), "group binary, chunk int, doc_id long, data binary")
     n = shards.shard_count(table.sparkSession)
     parts = parts.select("group", "chunk", "data").repartition(n, "group", "chunk").sortWithinPartitions("group", "chunk")
@@ -190,7 +194,7 @@ def dedup(table: DataFrame, modulus: int | None = None, huge_chars: int = HUGE_C
     found = shards.checkpointed(fingerprints(table, modulus, huge_chars).withColumn("group", F.concat("fingerprint", F.col("n_bytes").cast("string").cast("binary"))))
     # both sides of the joins on a group are plain scans, so that AQE can split a group of many copies
     best = shards.checkpointed(_best(found))
-    members = found.select("doc_id", "text_sha256", "group").distinct().join(best.filter("group_size > 1"), "group").select("doc_id", "text_sha256", "group")
+    members = found.select("doc_id", "hash", "group").distinct().join(best.filter("group_size > 1"), "group").select("doc_id", "hash", "group")
     odd = shards.checkpointed(collisions(table, members, chunk))
     if not odd.isEmpty():
         odd = odd.withColumn("odd", F.lit(True))
