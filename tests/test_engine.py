@@ -250,6 +250,13 @@ def test_incremental_pairs_take_only_the_affected_products(spark):
     assert {(r.a_id, r.b_id): round(r.score, 6) for r in vector.all_pairs(odd).collect() if r.score} == {("a", "b"): 1.0}
 
 
+def test_all_pairs_shuffle_neither_copies_of_rows_nor_pairs(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(str(i), rng.standard_normal(6).tolist()) for i in range(60)], "id string, embedding array<double>")
+    pairs = match.route(match.similarity_pairs(df), Config())
+    assert pairs.count() == 60 * 59 // 2 and "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_places_in_a_whole_order(spark):
     rows = [(i * 7919 % 1000, i) for i in range(1000)]
     got = report.placed(spark.createDataFrame(rows, "a int, b int"), F.desc("a")).collect()
