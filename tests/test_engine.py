@@ -257,6 +257,20 @@ def test_all_pairs_shuffle_neither_copies_of_rows_nor_pairs(spark):
     assert pairs.count() == 60 * 59 // 2 and "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
 
 
+def test_decided_pairs_leave_inside_the_tiles(spark):
+    ids = [str(i) for i in range(40)] + ["7|", "7|a", "a|7", "|", "7||a"]
+    df = spark.createDataFrame([(x, [float(i), 1.0]) for i, x in enumerate(ids)], "id string, embedding array<float>")
+    every = {(r.a_id, r.b_id) for r in vector.all_pairs(df, tile_rows=8).collect()}
+    assert len(every) == len(ids) * (len(ids) - 1) // 2
+    keys = ["1|2", "2|1", "33|5", "7|7|a", "7||a|7", "39|nobody", "12", None, *[f"0|{i}" for i in range(1, 40, 3)]]
+    decided = spark.createDataFrame([(k,) for k in keys], "pair_key string")
+    got = {(r.a_id, r.b_id) for r in vector.all_pairs(df, tile_rows=8, without=text.ends_of(decided, "pair_key")).collect()}
+    assert got == {(a, b) for a, b in every if f"{a}|{b}" not in keys} and len(got) < len(every) - 10
+    left = match.similarity_pairs(df, decided)
+    assert {(r.master_a_id, r.master_b_id) for r in left.collect()} == got
+    assert "Exchange" not in left._jdf.queryExecution().executedPlan().toString()
+
+
 def test_places_in_a_whole_order(spark):
     rows = [(i * 7919 % 1000, i) for i in range(1000)]
     got = report.placed(spark.createDataFrame(rows, "a int, b int"), F.desc("a")).collect()
