@@ -271,6 +271,18 @@ def test_decided_pairs_leave_inside_the_tiles(spark):
     assert "Exchange" not in left._jdf.queryExecution().executedPlan().toString()
 
 
+def test_incremental_pairs_do_not_shuffle_the_old_ones(spark):
+    df = spark.createDataFrame([(str(i), [float(i), 1.0]) for i in range(30)], "id string, embedding array<double>")
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = match.incremental_pairs(match.similarity_pairs(df), df, df.filter("id in ('3', '7')").select("id"))
+        assert got.count() == 30 * 29 // 2
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+
+
 def test_places_in_a_whole_order(spark):
     rows = [(i * 7919 % 1000, i) for i in range(1000)]
     got = report.placed(spark.createDataFrame(rows, "a int, b int"), F.desc("a")).collect()
