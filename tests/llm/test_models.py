@@ -289,6 +289,40 @@ def test_every_training_text_teaches(spark, monkeypatch):
     assert all(r["lesson"] % 2 == (r["key"] & 1) and 0 <= r["lesson"] < 6 for r in out)
 
 
+def test_every_token_teaches():
+    """Each token decides once at the first node of its code; so many decisions taught that gate."""
+    text = pa.array([" ".join(f"w{i * i % 97}" for i in range(500)), "w1 w4 unheard", ""])
+    n = 500 + 3 + 3  # words and ends
+    top = np.zeros(40, lm_mixing.COUNT)
+    top["token"], top["n"] = np.unique(np.concatenate([h for _, h, *_ in lm_mixing.tokens(text)]))[:40], 1
+    code, slots = lm_mixing.Code.of(top, 1000), lm_mixing.LEAST_SLOTS
+
+    class Sent:
+        value = [[np.zeros(2 * s, np.uint16).view("<i2") for s in lm_mixing._sizes(slots)]] * 2
+
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 3, pa.int32()), pa.array([1, 2, 3], pa.int64()), pa.array([1, 2, 3], pa.int64()), text], ["lesson", "key", "more", "text"])
+    (out,) = lm_mixing._lessons(code, slots, Sent())(iter([batch]))
+    cell, taught = out.column("cell").to_numpy(), out.column("n").to_numpy()
+    assert taught[cell < 3 * lm_mixing._SEEN**2].sum() == 3 * n  # three inputs a decision
+
+
+def test_classes_in_order_give_the_same_decisions():
+    top = np.zeros(300, lm_mixing.COUNT)
+    top["token"], top["n"] = np.arange(1, 301), np.arange(300, 0, -1)
+    code = lm_mixing.Code.of(top, int(top["n"].sum()) + 50)
+    h = np.random.default_rng(3).integers(1, 330, 2000).astype(np.uint64)
+    kind, rank, _ = code.look(h)
+    order = lm_mixing._by_class(kind)
+    one, two = ([set() for _ in h] for _ in range(2))
+    for gate, at, node, bit in code.decisions(kind, rank):
+        for a, x, b in zip(at, node, bit, strict=True):
+            one[a].add((gate, int(x), int(b)))
+    for gate, at, node, bit in code.decisions(kind[order], rank[order], True):
+        for a, x, b in zip(order[at], node, bit, strict=True):
+            two[a].add((gate, int(x), int(b)))
+    assert one == two
+
+
 def test_held_out_bits_a_byte_of_the_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     size = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
