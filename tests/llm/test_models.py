@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.llm import ann, lm_mixing, pieces, pii, toxicity
+from kinweave.llm import ann, lm_mixing, pieces, pii, toxicity, words
 from tests.llm.common import WORD, corpus, fold, frame
 
 # --- nearest neighbours ---
@@ -306,6 +306,76 @@ def test_every_token_teaches():
     assert taught[cell < 3 * lm_mixing._SEEN**2].sum() == 3 * n  # three inputs a decision
 
 
+def test_spelt_bytes_have_a_short_complete_code():
+    """Common bytes take few decisions, no byte shares a code, and a word's decisions spell it."""
+    letters = np.zeros(256, np.int64)
+    letters[list(b"etaoinshr dlu")] = 1000
+    letters[list(b"\n\t")] = 300
+    top = np.zeros(3, lm_mixing.COUNT)
+    top["token"], top["n"] = [1, 2, 3], 5
+    for counts in (letters, letters * 10**12, np.zeros(256, np.int64), None):
+        code = lm_mixing.Code.of(top, 20, counts)
+        assert (0.5 ** code.byte_depth.astype(float)).sum() == 1
+        spelt = ["tests".encode(), "née".encode(), bytes(set(range(256)) - set(words.SPACE))]
+        taken = [[] for _ in spelt]
+        for gate, word, slot, _, bit in lm_mixing._letters(code, spelt):
+            assert gate < lm_mixing._GATES and slot.max() < lm_mixing._sizes(1)[3] and len(word) == len(bit)
+            for w in word:
+                taken[w].append(gate)
+        assert [len(t) for t in taken] == [sum(int(code.byte_depth[b]) for b in w + b" ") for w in spelt]
+        codes = {(*(code.byte_step[d, b] for d in range(code.byte_depth[b])),) for b in range(256)}
+        assert len(codes) == 256
+    code = lm_mixing.Code.of(top, 20, letters)
+    assert sum(int(code.byte_depth[b]) for b in b"tests ") <= 5 * 6  # eight decisions a byte before
+    assert (lm_mixing.Code.of(top, 20).byte_depth == 8).all()
+
+
+def test_byte_counts_are_of_training_texts(spark):
+    rows = [(i, f"Word{i}\tof é") for i in range(40)] + [(None, None)]
+    docs = lm_mixing.shards.documents(frame(spark, rows), lm_mixing.held_out().alias("held")).withColumn("train", ~F.col("held"))
+    stored = lm_mixing.counts(docs)
+    train = [t for i, t in rows if t and zlib.crc32(str(i).encode()) % 7 != 2]
+    want = Counter(b"".join(fold(t).encode() for t in train))
+    got = lm_mixing.byte_counts(stored)
+    assert {b: int(n) for b, n in enumerate(got) if n} == want
+    total, distinct = stored.agg(F.sum("total"), F.sum("distinct")).first()
+    assert total == sum(len(WORD.findall(t)) for t in train) + sum(zlib.crc32(str("" if i is None else i).encode()) % 7 != 2 for i, _ in rows)
+    assert distinct == len({w for t in train for w in WORD.findall(fold(t))}) + 1
+
+
+def test_distinct_records():
+    rng = np.random.default_rng(2)
+    records = np.zeros(500, lm_mixing.USE)
+    for c in records.dtype.names:
+        records[c] = rng.integers(0, 4, 500)
+    assert np.array_equal(lm_mixing._distinct(records), np.unique(records))
+    assert len(lm_mixing._distinct(records[:0])) == 0
+
+
+def test_learning_in_steps_is_the_plain_sum():
+    """One step of the weights and of the map, against sums decision by decision."""
+    rng = np.random.default_rng(5)
+    n = 1000
+    for k in (2, 3):
+        x, seen, bit = rng.normal(size=(k, n)).astype(np.float32), rng.integers(0, 16, n), rng.integers(0, 2, n)
+        lesson = lm_mixing.Lesson()
+        start = lesson.mix.refine[7].astype(float).copy()
+        lesson.learn(7, x, seen, bit)
+        mixed = np.clip((0.4 * x.astype(float)).sum(0), -7.99, 7.99)
+        error, place = bit - 1 / (1 + np.exp(-mixed)), (mixed + 8) * 2
+        for s in range(16):
+            own = seen == s
+            rate = 1 / (1 + np.sqrt(own.sum() / (8 * lm_mixing.STEP)))
+            step = rate * (x[:, own] * error[own]).sum(1) / ((x[:, own] ** 2).sum(1) * 0.25 + 16)
+            assert np.allclose(lesson.mix.weights[7, s, :k], 0.4 + step, atol=1e-4)
+            assert (lesson.mix.weights[7, s, k:] == np.float32(0.4)).all() and lesson.n[7, s] == own.sum()
+        hat = np.maximum(0, 1 - np.abs(place[:, None] - np.arange(33)))
+        odds = 0.5 * (mixed + hat @ start)
+        force, many = hat.T @ (bit - 1 / (1 + np.exp(-odds))), hat.sum(0)
+        assert np.allclose(lesson.n_refine[7], many, atol=1e-2)
+        assert np.allclose(lesson.mix.refine[7], start + 4 / (1 + np.sqrt(many / (8 * lm_mixing.STEP))) * force / (many + 16), atol=1e-3)
+
+
 def test_classes_in_order_give_the_same_decisions():
     top = np.zeros(300, lm_mixing.COUNT)
     top["token"], top["n"] = np.arange(1, 301), np.arange(300, 0, -1)
