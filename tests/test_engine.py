@@ -1,6 +1,8 @@
 import datetime as dt
+import glob
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -271,6 +273,26 @@ def test_decided_pairs_leave_inside_the_tiles(spark):
     assert "Exchange" not in left._jdf.queryExecution().executedPlan().toString()
 
 
+def _bytes_a_row(df, path):
+    """Of the columns in the files that a frame is written to, by column."""
+    df.write.parquet(path)
+    groups = [m.row_group(g) for f in glob.glob(f"{path}/*.parquet") for m in [pq.ParquetFile(f).metadata] for g in range(m.num_row_groups)]
+    columns = [g.column(c) for g in groups for c in range(g.num_columns)]
+    return {n: sum(c.total_compressed_size for c in columns if c.path_in_schema == n) / sum(g.num_rows for g in groups) for n in {c.path_in_schema for c in columns}}
+
+
+def _vectors_in_any_order(spark, n=1200):
+    rng = np.random.default_rng(6)
+    rows = [(str(10_000 + 7 * i), rng.standard_normal(4).tolist()) for i in rng.permutation(n)]
+    return spark.createDataFrame(rows, "id string, embedding array<double>").coalesce(1)
+
+
+def test_files_of_pairs_hold_few_bytes_a_pair(spark, tmp_path):
+    df = _vectors_in_any_order(spark)
+    took = _bytes_a_row(match.similarity_pairs(df, df.select(F.lit("10000|10007").alias("pair_key")).limit(1)), str(tmp_path / "pairs"))
+    assert took["pair_key"] < 4.2 and took["master_a_id"] + took["master_b_id"] < 0.35, took
+
+
 def test_incremental_pairs_do_not_shuffle_the_old_ones(spark):
     df = spark.createDataFrame([(str(i), [float(i), 1.0]) for i in range(30)], "id string, embedding array<double>")
     least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
