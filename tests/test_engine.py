@@ -293,6 +293,11 @@ def test_files_of_pairs_hold_few_bytes_a_pair(spark, tmp_path):
     assert took["pair_key"] < 4.2 and took["master_a_id"] + took["master_b_id"] < 0.35, took
 
 
+def test_files_of_routed_pairs_hold_few_bytes_a_pair(spark, tmp_path):
+    took = _bytes_a_row(match.route(match.similarity_pairs(_vectors_in_any_order(spark)), Config()), str(tmp_path / "routed"))
+    assert sum(b for c, b in took.items() if c != "score") < 5, took
+
+
 def test_incremental_pairs_do_not_shuffle_the_old_ones(spark):
     df = spark.createDataFrame([(str(i), [float(i), 1.0]) for i in range(30)], "id string, embedding array<double>")
     least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
