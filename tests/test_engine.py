@@ -298,6 +298,13 @@ def test_files_of_routed_pairs_hold_few_bytes_a_pair(spark, tmp_path):
     assert sum(b for c, b in took.items() if c != "score") < 5, took
 
 
+def test_files_of_incremental_pairs_hold_few_bytes_a_pair(spark, tmp_path):
+    df = _vectors_in_any_order(spark)
+    pairs = match.incremental_pairs(match.similarity_pairs(df), df, df.filter("cast(id as long) % 10 = 0").select("id"))
+    took = _bytes_a_row(pairs, str(tmp_path / "again"))
+    assert sum(b for c, b in took.items() if c != "score") < 5.5, took
+
+
 def test_incremental_pairs_do_not_shuffle_the_old_ones(spark):
     df = spark.createDataFrame([(str(i), [float(i), 1.0]) for i in range(30)], "id string, embedding array<double>")
     least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
